@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import op6_mixing, op7_mpeg
+from . import op2_revisit, op4_secrets, op6_mixing, op7_mpeg
 
 QUERIES = {
+    "op2_revisit": op2_revisit.op2_revisit,
+    "op4_secrets": op4_secrets.op4_secrets,
     "op6_mixing": op6_mixing.op6_mixing,
     "op7_mpeg": op7_mpeg.op7_mpeg,
 }
-ORACLES = {"op6_mixing": op6_mixing.ORACLE}
+ORACLES = {
+    "op2_revisit": op2_revisit.ORACLE,
+    "op6_mixing": op6_mixing.ORACLE,
+}
