@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op10_decontam, op2_revisit, op4_secrets, op6_mixing, op7_mpeg, op8_quality
+from . import op10_decontam, op2_revisit, op4_secrets, op5_html, op6_mixing, op7_mpeg, op8_quality
 
 QUERIES = {
     "op2_revisit": op2_revisit.op2_revisit,
     "op4_secrets": op4_secrets.op4_secrets,
+    "op5_html": op5_html.op5_html,
     "op6_mixing": op6_mixing.op6_mixing,
     "op8_quality": op8_quality.op8_quality,
     "op10_decontam": op10_decontam.op10_decontam,
