@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_lines, op10_decontam, op2_revisit, op4_secrets, op5_html, op6_mixing, op7_mpeg, op8_quality
+from . import op1_lines, op10_decontam, op2_revisit, op4_secrets, op5_html, op6_mixing, op7_mpeg, op8_quality, op9_minhash
 
 QUERIES = {
     "op1_lines": op1_lines.op1_lines,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_html": op5_html.op5_html,
     "op6_mixing": op6_mixing.op6_mixing,
     "op8_quality": op8_quality.op8_quality,
+    "op9_minhash": op9_minhash.op9_minhash,
     "op10_decontam": op10_decontam.op10_decontam,
     "op7_mpeg": op7_mpeg.op7_mpeg,
 }
