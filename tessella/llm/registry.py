@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_lines, op10_decontam, op2_revisit, op4_secrets, op5_html, op6_mixing, op7_mpeg, op8_quality, op9_minhash
+from . import op1_lines, op10_decontam, op2_revisit, op3_repeats, op4_secrets, op5_html, op6_mixing, op7_mpeg, op8_quality, op9_minhash
 
 QUERIES = {
     "op1_lines": op1_lines.op1_lines,
     "op2_revisit": op2_revisit.op2_revisit,
+    "op3_repeats": op3_repeats.op3_repeats,
     "op4_secrets": op4_secrets.op4_secrets,
     "op5_html": op5_html.op5_html,
     "op6_mixing": op6_mixing.op6_mixing,
