@@ -51,7 +51,7 @@ def read_snapshots(spark: SparkSession, pattern: str) -> DataFrame:
 def to_binary(snapshots: DataFrame) -> DataFrame:
     """(commit_id, rel_path, hash, type) -> commit_id, content: a snapshot for each commit, files by path."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("rel_path")[["rel_path", "hash", "type"]].itertuples(index=False, name=None)
         return pd.DataFrame([(key[0], encode(list(rows)))], columns=["commit_id", "content"])
 
