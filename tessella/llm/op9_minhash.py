@@ -17,6 +17,13 @@ goes in rounds, the best estimates of each class first; pairs already joined by
 confirmed links need no further look. Components are found by min-label
 propagation with pointer jumping.
 
+REACH bounds the neighbours of a class, so a region of more classes has pairs
+that no tree brought together. An exact step handles these: a region is a
+connected part of the candidate graph; where it has pairs that were no
+candidates and holds more than one component, the classes outside its largest
+component are held against all its classes on the full sets, in slices of
+SLICE by SLICE classes, whatever the region's size.
+
 Defined cases: null, empty and wordless texts have empty sets and are linked
 with nothing; a text of fewer words than a shingle has its whole sequence as
 one; repeated rows and ids are rows of their own with equal results (a null id
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, mix64, row_key, table, text_buffers, word_hashes
 
-TREES, DEPTH, MIN_PREFIX, REACH, SLACK = 16, 8, 2, 4, 4.5
+TREES, DEPTH, MIN_PREFIX, REACH, SLACK, SLICE = 16, 8, 2, 4, 4.5, 2000
 _U = np.uint64
 VALUES = TREES * DEPTH
 
@@ -234,6 +241,51 @@ def components(links: DataFrame) -> DataFrame:
         labels = materialise(labels.join(hooks.withColumnRenamed("r", "root"), "root", "left").select("v", F.coalesce("to", "root").alias("root")), "labels")
 
 
+def _across(percent: int):
+    """Left and right classes (cls, root, words) of a slice -> a link of each left class to each other root within reach."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            sets = [np.frombuffer(x.as_buffer(), _U) for x in right.column("words")]
+            size = np.array([len(x) for x in sets])
+            owner, values = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+            order = np.argsort(values, kind="stable")
+            owner, values = owner[order], values[order]
+            other, root = right.column("cls").to_numpy(), right.column("root").to_numpy()
+            for cls, own, words in zip(left.column("cls").to_pylist(), left.column("root").to_pylist(), left.column("words"), strict=True):
+                words = np.frombuffer(words.as_buffer(), _U)
+                lo, hi = np.searchsorted(values, words, "left"), np.searchsorted(values, words, "right")
+                count = hi - lo
+                at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((both * 100 >= percent * (len(words) + size - both)) & (root != own))
+                for i in hit[np.unique(root[hit], return_index=True)[1]]:
+                    a.append(min(cls, int(other[i])))
+                    b.append(max(cls, int(other[i])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def across_regions(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, slice_: int = SLICE) -> DataFrame:
+    """Links between components of a region that no candidate pair could show: a, b."""
+    regions = components(pairs.select("a", "b")).select(F.col("v").alias("cls"), F.col("root").alias("region"))
+    placed = materialise(regions.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "regions")
+    held = pairs.join(regions.withColumnRenamed("cls", "a"), "a").groupBy("region").agg(F.count(F.lit(1)).alias("seen"))
+    per_root = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = per_root.groupBy("region").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("big")).join(held, "region")
+    open_ = open_.where((F.col("roots") > 1) & (F.col("seen") < F.col("m") * (F.col("m") - 1) / 2))
+    cuts = open_.select("region", F.col("big.root").alias("big"), F.ceil(F.col("m") / slice_).cast("int").alias("nr"), F.ceil((F.col("m") - F.col("big.n")) / slice_).cast("int").alias("nl"))
+    members = materialise(placed.join(cuts, "region").join(sets, "cls"), "members")
+    key = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.where("root <> big").select("region", key("nl").alias("l"), every("nr").alias("r"), "cls", "root", "words")
+    right = members.toDF(*members.columns).select("region", every("nl").alias("l"), key("nr").alias("r"), "cls", "root", "words")
+    by = ("region", "l", "r")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_across(percent), "a long, b long")
+
+
 def near_classes(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """docs (doc_id, text) -> one row per row: k1, k2, n (size of its set), root (smallest id of its component, k1 where it is alone)."""
     source = docs.select(*row_key(), "text")
@@ -259,8 +311,11 @@ def near_classes(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFram
     lb = labels.select(F.col("v").alias("b"), F.col("root").alias("rb"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
     more = materialise(confirm(apart, sets, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    links = links.unionByName(more)
+    labels = components(links) if not more.isEmpty() else labels
+    rest = materialise(across_regions(pairs, labels, sets, percent), "links")
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest))
     # From classes back to rows: the smallest id of all classes of a component.
     rooted = numbered.select("digest", "n", "cls", F.col("key.k1").alias("own")).join(labels.withColumnRenamed("v", "cls"), "cls", "left")
     rooted = materialise(rooted.withColumn("root", F.coalesce("root", "cls")), "rooted")
