@@ -9,33 +9,25 @@ import difflib
 import re
 from itertools import pairwise
 
-_DELIMITER = re.compile(r"--|/-|-/")
+_OUTSIDE, _INSIDE = re.compile("--|/-"), re.compile("/-|-/")
 _COMMANDS = re.compile(r"#align.*?(?:\n|$)|set_option.*?(?:\n|$)|import.*?(?:\n|$)|open.*?(?:\n|$)|\A\s*\Z", re.S)
 
 
 def strip_comments(text: str) -> str:
     """text without line comments (their line break stays) and nested block comments; an unclosed block runs to the end."""
     out, at, depth = [], 0, 0
-    while m := _DELIMITER.search(text, at):
-        mark, start = m[0], m.start()
-        if depth == 0:
-            if mark == "-/":
-                out.append(text[at : m.end()])
-                at = m.end()
-                continue
-            out.append(text[at:start])
-            if mark == "--":
-                stop = text.find("\n", start)
-                if stop < 0:
-                    return "".join(out)
-                at = stop
-            else:
-                depth, at = 1, m.end()
-        elif mark == "--":
-            at = start + 1 if text.startswith("-/", start + 1) else m.end()
-        else:
-            depth += 1 if mark == "/-" else -1
+    while m := (_INSIDE if depth else _OUTSIDE).search(text, at):
+        if depth:
+            depth += 1 if m[0] == "/-" else -1
             at = m.end()
+            continue
+        out.append(text[at : m.start()])
+        if m[0] == "/-":
+            depth, at = 1, m.end()
+        else:
+            at = text.find("\n", m.end())
+            if at < 0:
+                return "".join(out)
     return "".join(out) if depth else "".join(out) + text[at:]
 
 
