@@ -96,7 +96,7 @@ class PowerTable:
     def need(self, n: int) -> None:
         if n <= self.size:
             return
-        n = max(n, CHUNK_BYTES + (1 << 18))
+        n = -(-n // (1 << 18)) << 18
         self.up = np.ones(n + 1, _U)
         self.down = np.ones(n + 1, _U)
         self.up[1:] = self.base

@@ -82,10 +82,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: in
     key = -F.log(uniform(F.col("doc_id"))) / q
     rows = materialise(sized.select("doc_id", "source", "size", (key / (key + 1.0)).alias("rank_key")), "mix-rows")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    budgets = per_source.select(
+    # One row a source: written out so that what follows plans with their true size.
+    budgets = materialise(per_source.select(
         "source", "source_size", "target",
         F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long").alias("epochs"),
-    ).withColumn("budget", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("epochs") * F.col("source_size")))
+    ).withColumn("budget", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))), "mix-budgets")
 
     b1 = _bin(F.col("rank_key"), bins)
     b2 = F.least(F.floor(F.col("rank_key") * bins * bins) - F.floor(F.col("rank_key") * bins) * bins, F.lit(bins - 1)).cast("int")
@@ -100,10 +101,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: in
 
     level_budget = budgets.select(F.col("source").alias("bs"), "budget")
     cut1 = boundary(marked.groupBy("source", "b1").agg(F.sum("size").alias("s")), "b1", F.lit(0))
-    cut1 = cut1.select(F.col("source").alias("s1"), F.col("cut").alias("cut1"), F.col("before").alias("before1"))
+    cut1 = materialise(cut1.select(F.col("source").alias("s1"), F.col("cut").alias("cut1"), F.col("before").alias("before1")), "mix-cut")
     in1 = marked.join(cut1, F.col("source").eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("cut1")))
     cut2 = boundary(in1.groupBy("source", "b2", "before1").agg(F.sum("size").alias("s")), "b2", F.col("before1"))
-    cut2 = cut2.select(F.col("source").alias("s2"), F.col("cut").alias("cut2"), F.col("before").alias("before2"))
+    cut2 = materialise(cut2.select(F.col("source").alias("s2"), F.col("cut").alias("cut2"), F.col("before").alias("before2")), "mix-cut")
 
     limits = (
         budgets.join(cut1, F.col("source").eqNullSafe(F.col("s1")), "left").join(cut2, F.col("source").eqNullSafe(F.col("s2")), "left")

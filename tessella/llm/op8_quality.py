@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, table, text_buffers, word_hashes, word_spans
 
-TRAIN_DOCS, TRAIN_LINES, THRESHOLD, FOLDS = 6000, 64, 0.3, 5
+TRAIN_DOCS, TRAIN_LINES, THRESHOLD, FOLDS = 3000, 64, 0.3, 5
 EPOCHS, RATE, L2 = 120, 0.05, 1e-3
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 stop, 5 other ASCII sign, 6 beyond ASCII, 0 space and control
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
@@ -186,8 +186,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     width = OWN * 4 + 3
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), constant=share)
-    xs, lengths, rows, base = [], [], [], 0
-    for lo, hi, buf, offs in text_buffers(pa.array(texts, pa.binary())):
+    xs, lengths, rows = [], [], []
+    for lo, hi, buf, offs in text_buffers(pa.array(texts, pa.binary()), 1 << 18):
         x, size, r = features(buf, offs)
         keep = np.zeros(len(r), bool)
         x = with_neighbours(x, r)
@@ -197,11 +197,12 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
         xs.append(x[keep])
         lengths.append(size[keep])
         rows.append(r[keep] + lo)
-        base += hi - lo
-    x, size, rows = np.concatenate(xs).astype(np.float64), np.concatenate(lengths), np.concatenate(rows)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
+    x, size, rows = np.concatenate(xs), np.concatenate(lengths), np.concatenate(rows)
+    del xs
+    mean, scale = x.mean(0, np.float64), x.std(0, np.float64) + 1e-6
     mean[-1], scale[-1] = 0.0, 1.0
-    x = (x - mean) / scale
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
     y = labels[rows].astype(np.int64)
     # Both labels weigh the same, and so does each document, whatever its lines.
     per_doc = np.bincount(rows, minlength=len(labels))[rows]
@@ -210,8 +211,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     w, move = np.zeros(x.shape[1]), np.zeros((2, 2))
     m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, epochs + 1):
-        p, gap = chain(x @ w, move, rows, y)
-        g = np.r_[x.T @ ((p - y) * weight) / len(x) + L2 * w, (gap / len(x) + L2 * move).ravel()]
+        p, gap = chain((x @ w.astype(np.float32)).astype(np.float64), move, rows, y)
+        g = np.r_[x.T @ ((p - y) * weight).astype(np.float32) / len(x) + L2 * w, (gap / len(x) + L2 * move).ravel()]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         d = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, move = w - d[:-4], move - d[-4:].reshape(2, 2)
