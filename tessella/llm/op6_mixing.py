@@ -62,8 +62,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
     everything = Window.partitionBy()
     t = sources.withColumn("w", w).withColumn("cap", (F.col("source_size") * max_epochs).cast("double")).withColumn("ratio", F.col("cap") / F.col("w"))
     t = t.withColumn("level", (F.sum(F.col("source_size")).over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
+    t = t.withColumn("place", F.row_number().over(by_ratio))
     # The level holds from the first source that it leaves below its cap.
-    t = t.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "source", "level"))).over(everything)["level"])
+    t = t.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("place", "level"))).over(everything)["level"])
     return t.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
@@ -144,14 +145,14 @@ w AS (
          CAST(1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS DOUBLE) AS w
   FROM s),
 l AS (
-  SELECT *, cap / w AS ratio,
+  SELECT *, cap / w AS ratio, row_number() OVER (ORDER BY cap / w, source ASC NULLS LAST) AS place,
          (CAST(sum(source_size) OVER () AS DOUBLE)
           - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
 t AS (
   SELECT source, source_size,
-         coalesce(least(cap, (SELECT arg_min(level, ratio) FROM l AS m WHERE m.ratio >= m.level) * w), cap) AS target
+         coalesce(least(cap, (SELECT arg_min(level, place) FROM l AS m WHERE m.ratio >= m.level) * w), cap) AS target
   FROM l),
 b AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
