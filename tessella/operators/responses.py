@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udfs as U
 
 
 def exercises_of(rows: DataFrame) -> DataFrame:
@@ -142,3 +143,23 @@ def output_file(outputs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (model, input, temperature) with the first file, by name, that fits each."""
     first = outputs.groupBy("model", "input", "temperature").agg(F.min("path").alias("path"))
     return wanted.join(first, ["model", "input", "temperature"], "left")
+
+
+def repaired(rows: DataFrame, original: str = "content_before", patch: str = "gen_patch") -> DataFrame:
+    """rows with ``repair`` (patch or whole content) and ``repaired``, whether a hunk of the patch found its place."""
+    out = rows.withColumn("repair", U.repair_diff(F.col(original), F.col(patch)))
+    return out.withColumn("repaired", F.col("repair.patch").isNotNull() | F.col("repair.content").isNotNull())
+
+
+def repair_stats(rows: DataFrame, key: str = "model") -> DataFrame:
+    """Repaired rows -> per model: total, success, failure, rate."""
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if("repaired").alias("success"))
+    return out.withColumn("failure", F.col("total") - F.col("success")).withColumn("rate", F.try_divide(F.col("success").cast("double"), F.col("total")))
+
+
+def judged_and_verified(verified_rows: DataFrame, judged_rows: DataFrame, keys: tuple[str, ...] = ("commit_hash", "gold_diff", "content_before")) -> DataFrame:
+    """Verified candidates of the tasks that were judged, nulls in keys being equal; judged columns win."""
+    left, right = verified_rows.alias("v"), judged_rows.alias("j")
+    match = [F.col(f"v.{k}").eqNullSafe(F.col(f"j.{k}")) for k in keys]
+    mine = [F.col(f"v.{c}") for c in verified_rows.columns if c in keys or c not in judged_rows.columns]
+    return left.join(right, match).select(*mine, *[F.col(f"j.{c}") for c in judged_rows.columns if c not in keys])

@@ -424,6 +424,14 @@ def file_name_metadata(read):
     return rows.select("conv_id", "turn", "m.model", "m.temperature")
 
 
+@query("SELECT d.doc_id AS commit_hash, d.lang AS gold_diff, d.source AS content_before, d.n_chars, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 0")
+def judged_and_verified(read):
+    docs = read("documents").select(F.col("doc_id").alias("commit_hash"), F.col("lang").alias("gold_diff"), F.col("source").alias("content_before"), "n_chars")
+    keys = docs.drop("n_chars")
+    judged = keys.join(read("labels").where("toxic = 0").withColumnRenamed("doc_id", "commit_hash"), "commit_hash").select("commit_hash", "gold_diff", "content_before", "quality")
+    return R.judged_and_verified(docs, judged)
+
+
 @query("SELECT CAST(count_if(quality = 1) AS DOUBLE) / count(*) AS kept FROM labels")
 def kept_ratio(read):
     return read("labels").agg(R.ratio_of(F.count_if(F.col("quality") == 1), F.count(F.lit(1))).alias("kept"))
@@ -549,6 +557,14 @@ def diff_repair(read):
     return d.select("doc_id", U.repair_diff(F.col("before"), broken).alias("r")).select("doc_id", "r.*")
 
 
+@query()
+def repair_stats(read):
+    """Share of patches that could be repaired, by language as model; every third is about another file."""
+    d = _lean(read).join(read("documents").select("doc_id", F.col("lang").alias("model")), "doc_id").withColumn("diff", U.unified_diff(F.col("before"), F.col("after")))
+    rows = d.select("model", F.col("before").alias("content_before"), F.when(F.col("doc_id") % 3 == 0, "@@ -1,1 +1,1 @@\n-wholly other words stand here\n+x").otherwise(F.col("diff")).alias("gen_patch"))
+    return R.repair_stats(R.repaired(rows))
+
+
 @query()
 def scattered_edits(read):
     pairs = read("supplier").join(read("part"), F.col("s_suppkey") == F.col("p_partkey"))
