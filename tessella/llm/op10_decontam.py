@@ -53,10 +53,10 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, _U)
-    out = np.zeros(n, _U)
-    for i in range(q):
-        out |= data[i : i + n].astype(_U) << _U(8 * i)
-    return out
+    # Eight bytes from every place at once, by a view whose items overlap.
+    padded = data.tobytes() + bytes(8 - q)
+    out = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
+    return out if q == 8 else out & _U((1 << 8 * q) - 1)
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -138,18 +138,21 @@ class Index:
         pos, lo, hi = pos[keep], lo[keep], hi[keep]
         count = hi - lo
         step = max(1, int(4_000_000 // max(1, int(count.max()))))
-        pairs_owner, pairs_diag = [], []
+        pairs_owner, pairs_diag, pairs_at = [], [], []
         for a in range(0, len(pos), step):
             c = count[a : a + step]
             which = np.repeat(np.arange(len(c)), c)
             into = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + lo[a : a + step][which]
             pairs_owner.append(self.owner[into])
             pairs_diag.append(pos[a : a + step][which] - self.at[into])
+            pairs_at.append(self.at[into])
         owner, diag = np.concatenate(pairs_owner), np.concatenate(pairs_diag)
         # Cells of k + 1 diagonals; a band is a cell and the next, so bands overlap by a cell.
         cell = (diag + self.longest) // (self.k[owner] + 1)
         wide = len(text) + self.longest + 2
-        keys, shared = np.unique(owner * wide + cell, return_counts=True)
+        # The lemma speaks of the item's q-grams: one that meets the text twice in a cell counts once.
+        each = np.unique((owner * wide + cell) * self.longest + np.concatenate(pairs_at))
+        keys, shared = np.unique(each // self.longest, return_counts=True)
         shared[:-1] += np.where(keys[1:] == keys[:-1] + 1, shared[1:], 0)
         raw, seen = text.tobytes(), set()
         good = shared >= self.bound[keys // wide]
