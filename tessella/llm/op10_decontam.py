@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma over overlapping diagonal bands.
 
-Texts are compared with ASCII letters lowered and each run of white space as
+Texts are compared with letters lowered and each run of ASCII white space as
 one space. An item of n bytes that occurs in a text with at most k edits shares
 at least n + 1 - q(k + 1) of its q-grams with it, on diagonals that differ by
 at most k. So the shared q-grams of a text and an item are counted in bands of
@@ -40,7 +40,8 @@ _BITS = 22
 
 
 def normal(text: bytes) -> bytes:
-    return b" ".join(text.lower().split())
+    lowered = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return b" ".join(lowered.split())
 
 
 def budget(n: int, q: int = Q, share: float = EDIT_SHARE) -> int:

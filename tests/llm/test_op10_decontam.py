@@ -70,3 +70,9 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in m.clean(docs.drop("benchmark_hits"), bench).collect()) == [1, 2, 5]
     assert m.find(docs, bench, block=1).where(F.size("benchmark_hits") == 2).count() == 4
     assert m.find(docs.limit(0), bench).count() == 0 and m.find(docs, bench.limit(0)).where(F.size("benchmark_hits") > 0).count() == 0
+
+
+def test_letters_beyond_ascii_are_lowered():
+    item = "Été à l'école, où l'élève étudie la géométrie différentielle et l'algèbre"
+    index = m.Index([(1, m.normal(item.encode()))])
+    assert m._text_hits(index, m.normal(("AVANT " + item.upper() + " APRÈS").encode()))[0]["edits"] == 0
