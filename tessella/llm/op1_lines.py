@@ -1,16 +1,18 @@
 """Line dedup with a log-template tree.
 
-A line of MIN_TOKENS or more words goes to a leaf of a tree of fixed depth: its
-word count, then its first DEPTH words. Words with a digit or @ are variable
-fields and become wildcards at once. Within a leaf, templates are taken in
+Every line with a word goes to a leaf of a tree of fixed depth: its word count,
+then its first DEPTH words. Words with a digit or @ are variable fields and
+become wildcards at once, but not in lines of fewer than DEPTH words, nor in those
+of fewer than 2 * DEPTH words that have no other word: these are compared whole. Within a leaf, templates are taken in
 order of their counts (then of their hash) and join the first group whose
 constant words agree in SIMILARITY or more of all positions; positions that
 differ become wildcards. Groups are looked up by the four quarters of the
 line, so a template is compared with groups that share a quarter: up to three
 changed fields always leave one in common, and a leaf's cost stays near linear.
 
-A group that occurs in MIN_DOCS or more documents is a recurring template: all
-its lines are dropped but the first line of the document with the smallest id.
+A group that occurs in MIN_DOCS or more documents, or in LONG_DOCS or more if its
+lines have LONG_TOKENS or more words, is a recurring template: all its lines are
+dropped but the first line of the document with the smallest id.
 
 Lines travel as hashes (16 bits a word, for the comparison of templates); the
 text itself is shuffled once, when the lines are taken out. Leaves are counted
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import _TABLES, PowerTable, materialise, mix64, row_key, table, text_buffers, word_hashes, word_spans
 
-DEPTH, MIN_TOKENS, SIMILARITY, MIN_DOCS = 3, 6, 0.75, 5
+DEPTH, MIN_TOKENS, SIMILARITY, MIN_DOCS = 3, 1, 0.75, 5
+LONG_TOKENS, LONG_DOCS = 50, 2
 _U = np.uint64
 _WILD = _U(0x5BD1E9955BD1E995)
 _VARIABLE = np.zeros(256, bool)
@@ -48,7 +51,6 @@ def line_templates(buf: np.ndarray, offs: np.ndarray):
     hashes, _ = word_hashes(buf, offs)
     variable = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(_VARIABLE[buf], out=variable[1:])
-    hashes = np.where(variable[ends] > variable[starts], _WILD, hashes)
     breaks = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(buf == 10, out=breaks[1:])
     line = breaks[starts] - breaks[offs[rows]]
@@ -56,11 +58,17 @@ def line_templates(buf: np.ndarray, offs: np.ndarray):
     new[1:] = (rows[1:] != rows[:-1]) | (line[1:] != line[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(starts)])
+    field = variable[ends] > variable[starts]
+    fields = np.r_[0, np.cumsum(field)]
+    whole = (count < DEPTH) | (count < 2 * DEPTH) & (fields[first + count] - fields[first] == count)
+    size = np.repeat(count, count)
+    hashes = np.where(field & ~np.repeat(whole, count), _WILD, hashes)
     keep = count >= MIN_TOKENS
     first, count = first[keep], count[keep]
     leaf = mix64(count.astype(_U))
     for d in range(DEPTH):
-        leaf = mix64(leaf * _U(31) + hashes[first + d])
+        has = count > d
+        leaf[has] = mix64(leaf[has] * _U(31) + hashes[first[has] + d])
     powers = _TABLES.setdefault(_WORD_BASE, PowerTable(_WORD_BASE))
     powers.need(len(hashes) + 1)
     run = np.zeros(len(hashes) + 1, _U)
@@ -68,25 +76,24 @@ def line_templates(buf: np.ndarray, offs: np.ndarray):
     template = mix64((run[first + count] - run[first]) * powers.down[first])
     prints = (hashes >> _U(48)).astype(np.uint16)
     prints[hashes == _WILD] = 0
-    within = np.repeat(keep, np.diff(np.r_[np.flatnonzero(new), len(starts)])) if len(starts) else np.zeros(0, bool)
-    return rows[first], line[first], leaf, template, prints[within], np.r_[0, np.cumsum(count)]
+    return rows[first], line[first], leaf, template, prints[size >= MIN_TOKENS], np.r_[0, np.cumsum(count)]
 
 
 def _lines(docs: DataFrame, tokens: bool) -> DataFrame:
-    """docs (k1, k2, text) -> leaf and, with tokens, template, k1, k2, line, words."""
+    """docs (k1, k2, text) -> leaf, long (of LONG_TOKENS or more words) and, with tokens, template, k1, k2, line, words."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in text_buffers(batch.column(2)):
                 rows, line, leaf, template, prints, at = line_templates(buf, offs)
-                columns = [pa.array(leaf.view(np.int64))]
+                columns = [pa.array(leaf.view(np.int64)), pa.array(np.diff(at) >= LONG_TOKENS)]
                 if tokens:
                     words = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(prints))])
                     take = pa.array(rows + lo)
                     columns += [pa.array(template.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(line.astype(np.int32)), words]
-                yield pa.RecordBatch.from_arrays(columns, names=["leaf", "template", "k1", "k2", "line", "words"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=["leaf", "long", "template", "k1", "k2", "line", "words"][: len(columns)])
 
-    return docs.mapInArrow(run, "leaf long, template long, k1 long, k2 long, line int, words binary" if tokens else "leaf long")
+    return docs.mapInArrow(run, "leaf long, long boolean, template long, k1 long, k2 long, line int, words binary" if tokens else "leaf long, long boolean")
 
 
 class Leaf:
@@ -134,14 +141,15 @@ def _grow(batches):
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (doc_id, text) -> k1, k2, drop (line numbers), n_templates for documents that lose lines."""
     source = docs.select(*row_key(), "text")
-    leaves = _lines(source, False).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    enough = F.when(F.col("long"), min(min_docs, LONG_DOCS)).otherwise(min_docs)
+    leaves = _lines(source, False).groupBy("leaf", "long").count().where(F.col("count") >= enough).select("leaf")
     lines = materialise(_lines(source, True).join(leaves, "leaf", "left_semi"), "lines")
     templates = lines.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
     groups = templates.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "template").mapInArrow(_grow, "leaf long, template long, grp long")
-    placed = lines.select("leaf", "template", "k1", "k2", "line").join(groups, ["leaf", "template"])
-    per_doc = placed.groupBy("leaf", "grp", "k1", "k2").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    placed = lines.select("leaf", "long", "template", "k1", "k2", "line").join(groups, ["leaf", "template"])
+    per_doc = placed.groupBy("leaf", "long", "grp", "k1", "k2").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     per_doc = materialise(per_doc, "line-groups")
-    often = per_doc.groupBy("leaf", "grp").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("k1", "k2")).alias("owner")).where(F.col("n_docs") >= min_docs)
+    often = per_doc.groupBy("leaf", "long", "grp").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("k1", "k2")).alias("owner")).where(F.col("n_docs") >= enough).drop("long")
     own = (F.col("owner.k1") == F.col("k1")) & (F.col("owner.k2") == F.col("k2"))
     hit = per_doc.join(often, ["leaf", "grp"]).select("k1", "k2", F.when(own, F.slice("lines", F.lit(2), F.size("lines"))).otherwise(F.col("lines")).alias("lines"))
     return hit.where(F.size("lines") > 0).groupBy("k1", "k2").agg(F.flatten(F.collect_list("lines")).alias("drop"), F.count(F.lit(1)).alias("n_templates"))

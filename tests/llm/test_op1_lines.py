@@ -95,3 +95,20 @@ def test_leaf_merges_variable_fields():
     b[5], c[5], c[9] = 99, 98, 97
     assert [leaf.add(1, a), leaf.add(2, b), leaf.add(3, c), leaf.add(4, a[::-1].copy())] == [1, 1, 1, 4]
     assert leaf.fixed[0].sum() == 10
+
+
+def test_short_lines_and_long_lines_in_two_documents(spark):
+    rng = random.Random(5)
+    long, less = (" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n)) for n in (50, 49))
+    rows = []
+    for i in range(6):
+        own = f"own{'abcdef'[i] * 3}"
+        lines = [own, "All rights reserved.", "the end", "Page 7", f"Page 1{i}", f"1{i} 2{i} 3{i}", f"Posted on day {i}"]
+        rows.append((i, "\n".join(lines + [long, less] * (i in (2, 4)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in m.mark(docs).collect()}
+    assert got[0] == rows[0][1].split("\n")
+    for i in range(1, 6):
+        # Lines of fewer words than the tree is deep, or of variable fields alone, are held against equal ones only.
+        want = [f"own{'abcdef'[i] * 3}", f"Page 1{i}", f"1{i} 2{i} 3{i}"]
+        assert got[i] == want + [long] * (i == 2) + [less] * (i in (2, 4))
