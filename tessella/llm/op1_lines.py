@@ -6,9 +6,9 @@ become wildcards at once, but not in lines of fewer than DEPTH words, nor in tho
 of fewer than 2 * DEPTH words that have no other word: these are compared whole. Within a leaf, templates are taken in
 order of their counts (then of their hash) and join the first group whose
 constant words agree in SIMILARITY or more of all positions; positions that
-differ become wildcards. Groups are looked up by the four quarters of the
-line, so a template is compared with groups that share a quarter: up to three
-changed fields always leave one in common, and a leaf's cost stays near linear.
+differ become wildcards. Where SIMILARITY allows c changed words, the words after
+the first DEPTH are cut into c + 1 pieces: a group that can take a template shares
+a whole piece with it, so looking groups up by their pieces misses none.
 
 A group that occurs in MIN_DOCS or more documents, or in LONG_DOCS or more if its
 lines have LONG_TOKENS or more words, is a recurring template: all its lines are
@@ -97,32 +97,37 @@ def _lines(docs: DataFrame, tokens: bool) -> DataFrame:
 
 
 class Leaf:
-    """Template groups of one leaf."""
+    """Template groups of one leaf: all templates have one length and the same first DEPTH words."""
 
     def __init__(self):
-        self.constant: list[np.ndarray] = []
-        self.fixed: list[np.ndarray] = []
+        self.constant = self.fixed = np.zeros((0, 0))
         self.name: list[int] = []
-        self.quarters: dict[tuple[int, bytes], list[int]] = {}
+        self.pieces: dict[tuple[int, bytes], list[int]] = {}
 
     def add(self, template: int, words: np.ndarray) -> int:
         """Name of the group that takes this template: that of its first member."""
-        n = len(words)
-        cuts = [n * q // 4 for q in range(5)]
-        keys = [(q, words[cuts[q] : cuts[q + 1]].tobytes()) for q in range(4)]
-        best, best_share = -1, SIMILARITY
-        for g in sorted({g for k in keys for g in self.quarters.get(k, ())}):
-            share = float(((self.constant[g] == words) & self.fixed[g]).mean())
-            if share > best_share or share == best_share and best < 0:
-                best, best_share = g, share
-        if best >= 0:
-            self.fixed[best] &= self.constant[best] == words
-            return self.name[best]
-        self.constant.append(words)
-        self.fixed.append(np.ones(n, bool))
+        n, made = len(words), len(self.name)
+        changes = next(c for c in range(int(n * (1 - SIMILARITY)) + 1, -1, -1) if (n - c) / n >= SIMILARITY)
+        head = min(DEPTH, n)
+        cuts = [head + (n - head) * q // (changes + 1) for q in range(changes + 2)]
+        keys = [(q, words[a:b].tobytes()) for q, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        near = sorted({g for k in keys for g in self.pieces.get(k, ())})
+        if near:
+            share = (self.constant[near] == words) & self.fixed[near]
+            share = share.sum(axis=1) / n
+            best = int(share.argmax())
+            if share[best] >= SIMILARITY:
+                self.fixed[near[best]] &= self.constant[near[best]] == words
+                return self.name[near[best]]
+        if made == len(self.constant):
+            constant, fixed = np.zeros((2 * made + 1, n), np.uint16), np.ones((2 * made + 1, n), bool)
+            if made:
+                constant[:made], fixed[:made] = self.constant, self.fixed
+            self.constant, self.fixed = constant, fixed
+        self.constant[made] = words
         self.name.append(template)
         for k in keys:
-            self.quarters.setdefault(k, []).append(len(self.name) - 1)
+            self.pieces.setdefault(k, []).append(made)
         return template
 
 

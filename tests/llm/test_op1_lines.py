@@ -112,3 +112,31 @@ def test_short_lines_and_long_lines_in_two_documents(spark):
         # Lines of fewer words than the tree is deep, or of variable fields alone, are held against equal ones only.
         want = [f"own{'abcdef'[i] * 3}", f"Page 1{i}", f"1{i} 2{i} 3{i}"]
         assert got[i] == want + [long] * (i == 2) + [less] * (i in (2, 4))
+
+
+def test_leaf_finds_groups_as_a_full_comparison_does():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 4, 5, 6, 16, 23, 40, 120):
+        leaf, made = m.Leaf(), []
+        bases = rng.integers(1, 9, (4, n)).astype(np.uint16)
+        bases[:, : m.DEPTH] = bases[0, : m.DEPTH]
+        for i in range(200):
+            words = bases[rng.integers(4)].copy()
+            at = m.DEPTH + rng.permutation(max(0, n - m.DEPTH))[: rng.integers(0, n // 4 + 2)]
+            words[at] = rng.integers(9, 99, len(at))
+            shares = [((g[1] == words) & g[2]).mean() for g in made]
+            best = int(np.argmax(shares)) if shares else -1
+            if best >= 0 and shares[best] >= m.SIMILARITY:
+                made[best][2] &= made[best][1] == words
+            else:
+                best = len(made)
+                made.append([i, words, np.ones(n, bool)])
+            assert leaf.add(i, words) == made[best][0], (n, i)
+
+
+def test_leaf_takes_changes_in_every_quarter():
+    a = np.arange(1, 41, dtype=np.uint16)
+    b = a.copy()
+    b[[5, 15, 25, 35]] = 99
+    leaf = m.Leaf()
+    assert [leaf.add(1, a), leaf.add(2, b)] == [1, 1]
