@@ -187,7 +187,7 @@ def repeats(before: list[bytes], after: list[bytes], length: int):
 
 
 _SPAN = "k1 long, k2 long, start int, end int"
-_GROUP = "gram long, k1 long, k2 long, start int, end int, k1b long, k2b long, startb int"
+_GROUP = "gram long, k1 long, k2 long, start int, end int, k1b long, k2b long, startb int, p int, pb int"
 
 
 def _groups(length: int, pairs: bool):
@@ -197,7 +197,7 @@ def _groups(length: int, pairs: bool):
         for i, j, l, r in repeats([x[4] for x in rows], [x[5] for x in rows], length):
             a, b = rows[i], rows[j]
             if pairs:
-                yield (gram, a[1], a[2], a[3] - l, a[3] + r, b[1], b[2], b[3] - l)
+                yield (gram, a[1], a[2], a[3] - l, a[3] + r, b[1], b[2], b[3] - l, a[3], b[3])
             else:
                 for x in (a, b):
                     if x[0] == 1:
@@ -252,7 +252,7 @@ def _windows(length: int):
 
 
 def _repeated(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Anchors whose grams occur again, and the bytes of their distinct contexts where one of them occurs once."""
+    """The rows with their keys, and the anchors whose grams occur again."""
     source = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
     long = source.where(F.octet_length("text") >= length)
     often = long.mapInArrow(_anchors(length, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
@@ -260,19 +260,20 @@ def _repeated(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
     return source, again
 
 
-def _distinct(source: DataFrame, again: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def _distinct(source: DataFrame, again: DataFrame, length: int, hot: int, wanted: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct contexts, and the bytes of those whose gram meets a condition on kinds (of its contexts) and least (times one occurs)."""
     counted = materialise(again.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p", "s", "e")).alias("x")), "contexts")
-    mixed = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram", (F.col("kinds") > hot).alias("hot"))
-    wanted = counted.join(mixed, "gram").groupBy(F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2")).agg(
+    mixed = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where(wanted).select("gram", (F.col("kinds") > hot).alias("hot"))
+    needs = counted.join(mixed, "gram").groupBy(F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2")).agg(
         F.collect_list(F.struct("gram", "context", "n", "hot", "x.p", "x.s", "x.e")).cast(_NEED).alias("need")
     )
-    return counted, source.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "need").mapInArrow(_contexts(length), _BYTES)
+    return counted, source.join(needs, ["k1", "k2"]).select("k1", "k2", "text", "need").mapInArrow(_contexts(length), _BYTES)
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs (doc_id, text) -> k1, k2, start, end: bytes in strings of ``length`` that start anywhere else too; spans may overlap."""
     source, again = _repeated(docs, length, gram)
-    counted, contexts = _distinct(source, again, length, hot)
+    counted, contexts = _distinct(source, again, length, hot, "kinds > 1 and least = 1")
     twice = counted.where("n > 1").select("gram", "context")
     whole = again.join(twice, ["gram", "context"], "left_semi").select("k1", "k2", F.col("s").alias("start"), (F.col("e") + length).cast("int").alias("end"))
     contexts = materialise(contexts, "context-bytes")
@@ -285,12 +286,27 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Pairs (k1, k2, start, end, k1b, k2b, startb) whose closure gives each maximal repeat with all occurrences among distinct
-    contexts; contexts that are equal as wholes are named by the row with the smallest key.
+    """Pairs (gram, k1, k2, start, end, k1b, k2b, startb) whose closure gives each maximal repeat of an anchor's context with all its occurrences.
+
+    Repeats between distinct contexts name the occurrence with the smallest key of each; it is paired with the other
+    occurrences of an equal context, over the whole context and over each repeat found in it. A pair of a row with itself
+    at one place says that the row is repeated.
     """
     source, again = _repeated(docs, length, gram)
-    _, contexts = _distinct(source, again, length, 2**62)
-    return contexts.repartition("gram").sortWithinPartitions("gram", "after").mapInArrow(_groups(length, True), _GROUP)
+    counted, contexts = _distinct(source.dropDuplicates(["k1", "k2"]), again, length, 2**62, "kinds > 1")
+    order = contexts.repartition("gram").sortWithinPartitions("gram", "after")
+    pairs = materialise(order.mapInArrow(_groups(length, True), _GROUP), "repeat-pairs")
+    same = counted.where("n > 1").select("gram", "context", F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"), F.col("x.p").alias("p"), "x.s", "x.e")
+    ends = pairs.select("gram", "k1", "k2", "p", "start", "end")
+    far = pairs.select("gram", F.col("k1b").alias("k1"), F.col("k2b").alias("k2"), F.col("pb").alias("p"), F.col("startb").alias("start"), F.expr("startb + end - start").alias("end"))
+    part = ends.unionByName(far).join(same.drop("s", "e"), ["gram", "k1", "k2", "p"])
+    whole = same.select("gram", "context", "k1", "k2", "p", F.col("s").alias("start"), (F.col("e") + length).cast("int").alias("end"))
+    named = part.unionByName(whole).distinct()
+    placed = again.groupBy("gram", "context", F.col("k1").alias("k1b"), F.col("k2").alias("k2b"), F.col("p").alias("pb")).agg(F.count(F.lit(1)).alias("rows"))
+    other = (F.col("k1") != F.col("k1b")) | (F.col("k2") != F.col("k2b")) | (F.col("p") != F.col("pb")) | (F.col("rows") > 1)
+    copies = named.join(placed, ["gram", "context"]).where(other).withColumn("startb", F.col("pb") + F.col("start") - F.col("p"))
+    out = ("gram", "k1", "k2", "start", "end", "k1b", "k2b", "startb")
+    return pairs.select(*out).unionByName(copies.select(*out))
 
 
 def _cut(batches):

@@ -78,3 +78,52 @@ def test_maximal_repeat_pairs(spark):
     docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
     got = {(r.k1, r.k1b, r.end - r.start) for r in m.maximal_repeats(docs, 16, 8).collect()}
     assert {frozenset(x[:2]) for x in got} >= {frozenset((1, 3))} and {x[2] for x in got} >= {18, 19}
+
+
+def closed(pairs, rows, length):
+    """Occurrences of each string of ``length`` in the parts that the pairs join, by content; every pair must be a repeat."""
+    data = {a: b.encode() for a, b in rows}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in pairs:
+        n = r.end - r.start
+        assert n >= length and data[r.k1][r.start : r.end] == data[r.k1b][r.startb : r.startb + n] and len(data[r.k1]) >= r.end
+        for i in range(n - length + 1):
+            root[find((r.k1, r.start + i))] = find((r.k1b, r.startb + i))
+    parts = defaultdict(set)
+    for x in list(root):
+        parts[find(x)].add(x)
+    return sorted(sorted(x) for x in parts.values())
+
+
+def occurrences(rows, length):
+    seen = defaultdict(list)
+    for a, b in rows:
+        for i in range(len(b.encode()) - length + 1):
+            seen[b.encode()[i : i + length]].append((a, i))
+    return sorted(sorted(x) for x in seen.values() if len(x) > 1)
+
+
+@pytest.mark.parametrize("seed, gram", [(1, 12), (2, 40), (3, 4)])
+def test_maximal_repeats_of_copies(spark, seed, gram):
+    texts = [b for a, b in corpus(seed)[:25]]
+    rows = list(enumerate(texts + texts[:12] + texts[:12] + texts[5:8] * 10))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = occurrences(rows, 40)
+    assert closed(m.maximal_repeats(docs, 40, gram).collect(), rows, 40) == want and len(want) > 500
+
+
+def test_maximal_repeats_where_all_contexts_are_copies(spark):
+    shared = "".join(random.Random(4).choice("abcdefgh") for _ in range(50))
+    only = "".join(random.Random(5).choice("ijklmnop") for _ in range(60))
+    rows = [(1, "Q1" + shared + "R1"), (2, "Q1" + shared + "R1"), (3, "S2" + shared + "T2"), (4, "S2" + shared + "T2"), (5, only), (6, only), (7, only)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = m.maximal_repeats(docs, 40, 12).collect()
+    assert closed(got, rows, 40) == occurrences(rows, 40)
+    twice = spark.createDataFrame([(1, only), (1, only)], "doc_id long, text string")
+    assert {(r.k1, r.k1b) for r in m.maximal_repeats(twice, 40, 12).collect()} == {(1, 1)}
