@@ -80,17 +80,23 @@ def apply_hunk(lines: list[str], hunk: dict, shift: int) -> list[str] | None:
 
 
 def apply_diff(text: str, diff: str) -> str | None:
-    """text after a unified diff, None if it does not apply; of an empty text the added lines."""
+    """text after a unified diff, None if it does not apply; of an empty text the added lines.
+
+    A hunk that does not stand where its header says goes to the nearest place of the whole text where it does.
+    """
     if not text:
         return "\n".join(l[1:] for l in diff.split("\n") if l.startswith("+") and not l.startswith("+++"))
     lines, shift = text.split("\n"), 0
     for hunk in parse_hunks(diff):
-        for slack in (0, *(s * d for d in range(1, 200) for s in (1, -1))):  # as far as lines have moved
-            done = apply_hunk(lines, hunk, shift + slack)
-            if done is not None:
-                break
-        else:
-            return None
+        slack, done = 0, apply_hunk(lines, hunk, shift)
+        if done is None:
+            said = hunk["start"] + shift - (1 if hunk["count"] else 0)
+            for slack in sorted((at - said for at in range(len(lines) + 1)), key=lambda d: (abs(d), d < 0)):
+                done = apply_hunk(lines, hunk, shift + slack)
+                if done is not None:
+                    break
+            else:
+                return None
         shift += slack + len(done) - len(lines)
         lines = done
     return "\n".join(lines)

@@ -177,3 +177,15 @@ def test_response():
     got = R.response(ORIGINAL, answer)
     assert got["best_gen_content"] == ORIGINAL.replace("line 6", "added\nline 6", 1) and got["best_gen_patch"].startswith("--- a/file")
     assert R.response("", "```diff\n+a\n+b\n```")["best_gen_content"] == "a\nb" and R.response(ORIGINAL, "no") is None
+
+
+@pytest.mark.parametrize("moved", [-700, -200, -199, 0, 199, 200, 700])
+def test_hunks_apply_however_far_lines_have_moved(moved):
+    lines = [f"line {i}" for i in range(2000)]
+    new = lines[:1000] + ["added"] + lines[1001:1005] + lines[1006:]
+    diff = S.unified_diff("\n".join(lines), "\n".join(new))
+    before = [f"top {i}" for i in range(moved)] + lines[max(0, -moved) :]
+    after = [f"top {i}" for i in range(moved)] + new[max(0, -moved) :]
+    assert S.apply_diff("\n".join(before), diff) == "\n".join(after)
+    assert S.apply_diff("\n".join(before), diff.replace("line 999", "no line")) is None
+    assert S.apply_diff("a\nb\nc", "@@ -9000000,1 +9000000,1 @@\n-b\n+d") == "a\nd\nc"
