@@ -7,8 +7,9 @@ into the document's quality, which a logistic map fitted on the same rows turns
 into a score.
 
 Training uses at most ``TRAIN_DOCS`` labelled documents (those with the
-smallest hash of their id) and of each at most ``TRAIN_LINES`` lines spread
-evenly over it, which bounds the driver's memory; scoring reads every line of
+smallest hash of their id), all lines of each, and fewer documents where they
+have more than ``TRAIN_LINES`` lines together, which bounds the driver's memory;
+scoring reads every line of
 every document, in batches, without a shuffle. No label, language, source or id
 enters a score.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, table, text_buffers, word_hashes, word_spans
 
-TRAIN_DOCS, TRAIN_LINES, THRESHOLD, FOLDS = 3000, 64, 0.3, 5
+TRAIN_DOCS, TRAIN_LINES, THRESHOLD, FOLDS = 3000, 3000 * 64, 0.3, 5
 EPOCHS, RATE, L2 = 120, 0.05, 1e-3
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 stop, 5 other ASCII sign, 6 beyond ASCII, 0 space and control
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
@@ -189,14 +190,9 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     xs, lengths, rows = [], [], []
     for lo, hi, buf, offs in text_buffers(pa.array(texts, pa.binary()), 1 << 18):
         x, size, r = features(buf, offs)
-        keep = np.zeros(len(r), bool)
-        x = with_neighbours(x, r)
-        edges = np.r_[np.flatnonzero(np.r_[True, r[1:] != r[:-1]]), len(r)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            keep[np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_LINES)).astype(int))] = True
-        xs.append(x[keep])
-        lengths.append(size[keep])
-        rows.append(r[keep] + lo)
+        xs.append(with_neighbours(x, r))
+        lengths.append(size)
+        rows.append(r + lo)
     x, size, rows = np.concatenate(xs), np.concatenate(lengths), np.concatenate(rows)
     del xs
     mean, scale = x.mean(0, np.float64), x.std(0, np.float64) + 1e-6
@@ -266,6 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    lines = np.cumsum([0, *((r.text or "").count("\n") + 1 for r in rows[:-1])])
+    rows = [r for r, before in zip(rows, lines.tolist()) if before < TRAIN_LINES]
     return fit([(r.text or "").encode() for r in rows], np.array([r.quality for r in rows], np.int64))
 
 

@@ -73,3 +73,18 @@ def test_labels_of_one_kind(spark):
     one = m.train(docs, spark.createDataFrame([(2, 1)], "doc_id long, quality int"))
     none = m.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert m.score(docs, one).first().score == 1.0 and m.score(docs, none).first().score == 0.5
+
+
+def test_trains_and_calibrates_on_whole_chains(spark, monkeypatch):
+    texts = ["\n".join(f"{w} {i} words" for i in range(n)) for w, n in (("Good", 150), ("bad!", 90), ("Fine", 3))]
+    seen, chain, fit = [], m.chain, m.fit
+    monkeypatch.setattr(m, "chain", lambda e, move, rows, labels=None: seen.append(np.bincount(rows).tolist()) or chain(e, move, rows, labels) if labels is not None else chain(e, move, rows))
+    m.fit([t.encode() for t in texts], np.array([1, 0, 1]), epochs=2)
+    assert seen == [[150, 90, 3]] * 2
+    # The total of lines is bounded by taking fewer documents, each of them whole.
+    taken = []
+    monkeypatch.setattr(m, "fit", lambda texts, labels: taken.extend(texts) or fit(texts, labels, epochs=1))
+    monkeypatch.setattr(m, "TRAIN_LINES", 200)
+    docs = spark.createDataFrame([(i, texts[0]) for i in range(20)], "doc_id long, text string")
+    m.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert taken == [texts[0].encode()] * 2
