@@ -1,4 +1,4 @@
-"""Exact repeats of LENGTH bytes by a common-prefix interval tree over a sampled suffix array.
+"""Exact repeats by a common-prefix interval tree over a sampled suffix array.
 
 Sampling. Of all GRAM-byte strings in a window of LENGTH bytes the one with the
 least hash (of equals the last) is the window's anchor. The choice depends on
@@ -16,30 +16,63 @@ is r bytes deep, l + r >= LENGTH means a repeat of l + r bytes that can be
 extended neither way. Every occurrence of an interval is merged, so all
 occurrences are found, not only neighbours in the suffix array.
 
+Two units are searched in one pass over the texts: strings of 400 bytes, which
+are removed, and passages of 51 words (as sequences of 32-bit hashes, letters A
+to Z lowered), which are counted: 51 words may have fewer than 400 bytes.
+
 Grams with more than HOT distinct contexts are not sorted in one task: the
-windows of their contexts are hashed one by one and counted by key, which
-map-side sums spread over all tasks.
+windows of their contexts are hashed one by one and counted by gram and hash
+(128 bits together), which map-side sums spread over all tasks.
 
 Defined cases: null text is empty; shorter texts than LENGTH never match as
 windows; texts of any length are processed whole; repeated rows are each
 other's repeats; rows keep their number; no documents give no rows; of documents
-only doc_id and text are read.
+only doc_id and text are read. doc_id must be a number or null.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, prefix_hash, row_key, span_hash, table, text_buffers
+from .common import materialise, mix64, prefix_hash, row_key, span_hash, table, text_buffers, word_hashes
 
-LENGTH, GRAM, HOT = 400, 128, 200_000
+LENGTH, GRAM, HOT = 400, 128, 20_000
+PASSAGE, PASSAGE_GRAM = 51, 16
 _U = np.uint64
+_WORD_BYTES = 4
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What is compared: strings of ``length`` bytes, or of as many words; ``gram`` is the length of an anchor."""
+
+    length: int = LENGTH
+    gram: int = GRAM
+    words: bool = False
+
+    @property
+    def bytes(self) -> tuple[int, int]:
+        """Length and gram in bytes of the sequence that is searched."""
+        size = _WORD_BYTES if self.words else 1
+        return self.length * size, self.gram * size
+
+    def sequence(self, buf: np.ndarray, offs: np.ndarray):
+        """The texts' bytes, or four bytes of each word's hash."""
+        if not self.words:
+            return buf, offs
+        hashes, rows = word_hashes(buf, offs)
+        at = np.searchsorted(rows, np.arange(len(offs))) * _WORD_BYTES
+        return np.ascontiguousarray((hashes >> _U(32)).astype(">u4")).view(np.uint8), at
+
+
+UNITS = (Unit(), Unit(PASSAGE, PASSAGE_GRAM, True))
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -85,42 +118,48 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     return r, p - base, s - base, e - base, mix64(grams[p]), context
 
 
-_ANCHOR = "gram long, context long, k1 long, k2 long, p int, s int, e int"
+_ANCHOR = "u int, gram long, context long, k1 long, k2 long, p int, s int, e int"
 
 
-def _anchors(length: int, gram: int, whole: bool):
+def _anchors(units: tuple[Unit, ...], whole: bool):
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offs in text_buffers(batch.column(2)):
-                r, p, s, e, g, c = anchors(buf, offs, length, gram)
-                columns = [pa.array(g.view(np.int64))]
-                if whole:
-                    take = pa.array(r + lo)
-                    columns += [pa.array(c.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (p, s, e))]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "k1", "k2", "p", "s", "e"][: len(columns)])
+            for lo, _, raw, ends in text_buffers(batch.column(2)):
+                for u, unit in enumerate(units):
+                    buf, offs = unit.sequence(raw, ends)
+                    r, p, s, e, g, c = anchors(buf, offs, *unit.bytes)
+                    g = mix64(g + _U(u))
+                    columns = [pa.array(np.full(len(g), u, np.int32)), pa.array(g.view(np.int64))]
+                    if whole:
+                        take = pa.array(r + lo)
+                        columns += [pa.array(c.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (p, s, e))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["u", "gram", "context", "k1", "k2", "p", "s", "e"][: len(columns)])
 
     return run
 
 
-_NEED = "array<struct<gram:long,context:long,n:long,hot:boolean,p:int,s:int,e:int>>"
-_BYTES = "gram long, hot boolean, n long, k1 long, k2 long, p int, before binary, after binary"
+_NEED = "array<struct<u:int,gram:long,context:long,n:long,hot:boolean,p:int,s:int,e:int>>"
+_BYTES = "u int, gram long, context long, hot boolean, n long, k1 long, k2 long, p int, before binary, after binary"
 
 
-def _contexts(length: int):
+def _contexts(units: tuple[Unit, ...]):
     """(k1, k2, text, need) -> the bytes before each anchor (backwards) and from it on."""
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(10)]
             for k1, k2, text, need in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-                data, k1, k2 = text.as_buffer(), k1.as_py(), k2.as_py()
+                raw, k1, k2, data = text.as_buffer(), k1.as_py(), k2.as_py(), {}
                 for x in need.as_py():
-                    p = x["p"]
-                    values = (x["gram"], x["hot"], x["n"], k1, k2, p, bytes(data[x["s"] : p])[::-1], bytes(data[p : x["e"] + length]))
+                    u, p = x["u"], x["p"]
+                    if u not in data:
+                        data[u] = units[u].sequence(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes() if units[u].words else raw
+                    d = data[u]
+                    values = (u, x["gram"], x["context"], x["hot"], x["n"], k1, k2, p, bytes(d[x["s"] : p])[::-1], bytes(d[p : x["e"] + units[u].bytes[0]]))
                     for c, v in zip(out, values, strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "hot", "n", "k1", "k2", "p", "before", "after"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in _BYTES.split(", ")])
 
     return run
 
@@ -163,17 +202,18 @@ def interval_tree(lcp: list[int]):
         child = i + 1
 
 
-def repeats(before: list[bytes], after: list[bytes], length: int):
-    """(occurrence, occurrence, l, r) of maximal repeats with l + r >= length; after is sorted, before read backwards.
+def intervals(before: list[bytes], after: list[bytes], length: int):
+    """(depth, members, pairs) of each interval with a repeat of ``length`` or more that ends at its depth.
 
-    Every occurrence of a maximal repeat is in a reported pair of it.
+    after is sorted, before read backwards. Members are (before, occurrence) in order; pairs (occurrence, occurrence, l)
+    are neighbours of different children whose left texts part after l, which is the left extension of a maximal repeat.
     """
     lcp = [common_prefix(a, b) for a, b in zip(after, after[1:])]
     groups: list[list[tuple[bytes, int]]] = []
     for depth, children in interval_tree(lcp):
         parts = [[(before[c], c)] if c >= 0 else groups[-c - 1] for c in children]
         parts.sort(key=len)
-        merged = parts.pop()
+        merged, pairs = parts.pop(), []
         for part in parts:
             for item in part:
                 at = bisect_left(merged, item)
@@ -181,30 +221,63 @@ def repeats(before: list[bytes], after: list[bytes], length: int):
                     l = common_prefix(item[0], other[0])
                     # Left diversity: neighbours whose left texts part here give a repeat that ends here.
                     if l + depth >= length:
-                        yield item[1], other[1], l, depth
+                        pairs.append((item[1], other[1], l))
                 merged.insert(at, item)
         groups.append(merged)
+        if pairs:
+            yield depth, merged, pairs
+
+
+def repeats(before: list[bytes], after: list[bytes], length: int):
+    """(occurrence, occurrence, l, r) of maximal repeats; every occurrence of a maximal repeat is in a pair of it or of a longer one."""
+    for depth, _, pairs in intervals(before, after, length):
+        for i, j, l in pairs:
+            yield i, j, l, depth
 
 
-_SPAN = "k1 long, k2 long, start int, end int"
-_GROUP = "gram long, k1 long, k2 long, start int, end int, k1b long, k2b long, startb int, p int, pb int"
+def repeat_sets(before: list[bytes], after: list[bytes], length: int):
+    """(occurrences, l, r) of each maximal repeat: all members of its interval that share l bytes to the left."""
+    for depth, members, pairs in intervals(before, after, length):
+        seen = set()
+        for i, _, l in pairs:
+            at = bisect_left(members, (before[i], i))
+            lo = hi = at
+            while lo and common_prefix(members[lo - 1][0], before[i]) >= l:
+                lo -= 1
+            while hi + 1 < len(members) and common_prefix(members[hi + 1][0], before[i]) >= l:
+                hi += 1
+            if (lo, l) not in seen:
+                seen.add((lo, l))
+                yield [c for _, c in members[lo : hi + 1]], l, depth
 
 
-def _groups(length: int, pairs: bool):
-    """Contexts sorted by gram and after -> removed spans of those that occur once, or with pairs all maximal repeat pairs."""
+_SPAN = "u int, k1 long, k2 long, start int, end int"
+_GROUP = "gram long, context long, repeat long, length int, offset int"
+
+
+def _groups(units: tuple[Unit, ...], groups: bool):
+    """Contexts sorted by gram and after -> removed spans of those that occur once, or the occurrences of all maximal repeats.
+
+    An occurrence is an offset from its context's anchor; repeat is a hash of the repeated bytes.
+    """
 
     def solve(gram, rows):
-        for i, j, l, r in repeats([x[4] for x in rows], [x[5] for x in rows], length):
-            a, b = rows[i], rows[j]
-            if pairs:
-                yield (gram, a[1], a[2], a[3] - l, a[3] + r, b[1], b[2], b[3] - l, a[3], b[3])
-            else:
-                for x in (a, b):
-                    if x[0] == 1:
-                        yield (x[1], x[2], x[3] - l, x[3] + r)
-
-    names = [f.split()[0] for f in (_GROUP if pairs else _SPAN).split(", ")]
-    kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in (_GROUP if pairs else _SPAN).split(", ")]
+        length, before, after = units[rows[0][0]].bytes[0], [x[6] for x in rows], [x[7] for x in rows]
+        if groups:
+            for members, l, r in repeat_sets(before, after, length):
+                content = before[members[0]][:l][::-1] + after[members[0]][:r]
+                name = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
+                for i in members:
+                    yield (gram, rows[i][1], name, l + r, -l)
+            return
+        for i, j, l, r in repeats(before, after, length):
+            for x in (rows[i], rows[j]):
+                if x[2] == 1:
+                    yield (x[0], x[3], x[4], x[5] - l, x[5] + r)
+
+    fields = (_GROUP if groups else _SPAN).split(", ")
+    names = [f.split()[0] for f in fields]
+    kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in fields]
 
     def pack(found):
         columns = [list(c) for c in zip(*found, strict=True)] if found else [[] for _ in names]
@@ -213,7 +286,7 @@ def _groups(length: int, pairs: bool):
     def run(batches):
         current, rows, found = None, [], []
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("gram", "n", "k1", "k2", "p", "before", "after")]
+            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("gram", "u", "context", "n", "k1", "k2", "p", "before", "after")]
             for gram, *row in zip(*columns, strict=True):
                 if gram != current:
                     found += solve(current, rows) if len(rows) > 1 else ()
@@ -228,119 +301,141 @@ def _groups(length: int, pairs: bool):
     return run
 
 
-_WINDOW = "gram long, window long, n long, k1 long, k2 long, start int"
+_WINDOW = "u int, gram long, window long, n long, k1 long, k2 long, start int"
 
 
-def _windows(length: int):
+def _windows(units: tuple[Unit, ...]):
     """Contexts -> the hash of each of their windows."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                gram, n, k1, k2, p, before, after = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("gram", "n", "k1", "k2", "p", "before", "after"))
+                u, gram, n, k1, k2, p, before, after = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("u", "gram", "n", "k1", "k2", "p", "before", "after"))
+                length = units[u].bytes[0]
                 data = np.frombuffer(before[::-1] + after, np.uint8)
                 sums, powers = prefix_hash(data)
                 start = np.arange(len(data) - length + 1)
                 hashes = span_hash(sums, powers, start, start + length)
                 m = len(start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([gram] * m, pa.int64()), pa.array(hashes.view(np.int64)), pa.array([n] * m, pa.int64()), pa.array([k1] * m, pa.int64()), pa.array([k2] * m, pa.int64()), pa.array((start + p - len(before)).astype(np.int32))],
-                    names=["gram", "window", "n", "k1", "k2", "start"],
+                    [pa.array([u] * m, pa.int32()), pa.array([gram] * m, pa.int64()), pa.array(hashes.view(np.int64)), pa.array([n] * m, pa.int64()), pa.array([k1] * m, pa.int64()), pa.array([k2] * m, pa.int64()), pa.array((start + p - len(before)).astype(np.int32))],
+                    names=[f.split()[0] for f in _WINDOW.split(", ")],
                 )
 
     return run
 
 
-def _repeated(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+def _repeated(docs: DataFrame, units: tuple[Unit, ...]) -> tuple[DataFrame, DataFrame]:
     """The rows with their keys, and the anchors whose grams occur again."""
     source = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
-    long = source.where(F.octet_length("text") >= length)
-    often = long.mapInArrow(_anchors(length, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
-    again = materialise(long.mapInArrow(_anchors(length, gram, True), _ANCHOR).join(often, "gram", "left_semi"), "anchors")
+    # A text with that many words has that many bytes and as many less one between them.
+    least = min(2 * u.length - 1 if u.words else u.length for u in units)
+    long = source.where(F.octet_length("text") >= least)
+    # Written out, so that a gram with very many anchors is a skewed side of a plain join, which adaptive execution splits.
+    often = materialise(long.mapInArrow(_anchors(units, False), "u int, gram long").groupBy("gram").count().where("count > 1").select("gram"), "grams")
+    again = materialise(long.mapInArrow(_anchors(units, True), _ANCHOR).join(often, "gram", "left_semi"), "anchors")
     return source, again
 
 
-def _distinct(source: DataFrame, again: DataFrame, length: int, hot: int, wanted: str) -> tuple[DataFrame, DataFrame]:
+def _distinct(source: DataFrame, again: DataFrame, units: tuple[Unit, ...], hot: int, wanted: str) -> tuple[DataFrame, DataFrame]:
     """The distinct contexts, and the bytes of those whose gram meets a condition on kinds (of its contexts) and least (times one occurs)."""
-    counted = materialise(again.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p", "s", "e")).alias("x")), "contexts")
-    mixed = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where(wanted).select("gram", (F.col("kinds") > hot).alias("hot"))
+    counted = materialise(again.groupBy("u", "gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p", "s", "e")).alias("x")), "contexts")
+    mixed = materialise(counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where(wanted).select("gram", (F.col("kinds") > hot).alias("hot")), "mixed")
     needs = counted.join(mixed, "gram").groupBy(F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2")).agg(
-        F.collect_list(F.struct("gram", "context", "n", "hot", "x.p", "x.s", "x.e")).cast(_NEED).alias("need")
+        F.collect_list(F.struct("u", "gram", "context", "n", "hot", "x.p", "x.s", "x.e")).cast(_NEED).alias("need")
     )
-    return counted, source.join(needs, ["k1", "k2"]).select("k1", "k2", "text", "need").mapInArrow(_contexts(length), _BYTES)
-
-
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs (doc_id, text) -> k1, k2, start, end: bytes in strings of ``length`` that start anywhere else too; spans may overlap."""
-    source, again = _repeated(docs, length, gram)
-    counted, contexts = _distinct(source, again, length, hot, "kinds > 1 and least = 1")
-    twice = counted.where("n > 1").select("gram", "context")
-    whole = again.join(twice, ["gram", "context"], "left_semi").select("k1", "k2", F.col("s").alias("start"), (F.col("e") + length).cast("int").alias("end"))
+    return counted, source.join(needs, ["k1", "k2"]).select("k1", "k2", "text", "need").mapInArrow(_contexts(units), _BYTES)
+
+
+def _placed(found: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """Spans of the searched sequence as spans of the unit: those of words are drawn in to whole words."""
+    out = None
+    for u, unit in enumerate(units):
+        part = found.where(F.col("u") == u)
+        if unit.words:
+            size = _WORD_BYTES
+            first, last = F.ceil(F.col("start") / size), F.floor((F.col("end") - unit.bytes[0]) / size)
+            part = part.where(first <= last).select("u", "k1", "k2", first.cast("int").alias("start"), (last + unit.length).cast("int").alias("end"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def spans(docs: DataFrame, units: tuple[Unit, ...] = UNITS, hot: int = HOT) -> DataFrame:
+    """docs (doc_id, text) -> u, k1, k2, start, end: parts (in bytes or words) in strings of unit u that start anywhere else too; they may overlap."""
+    source, again = _repeated(docs, units)
+    counted, contexts = _distinct(source, again, units, hot, "kinds > 1 and least = 1")
+    twice = materialise(counted.where("n > 1").select("gram", "context"), "twice")
+    end = F.element_at(F.array(*[F.lit(u.bytes[0]) for u in units]), F.col("u") + 1) + F.col("e")
+    whole = again.join(twice, ["gram", "context"], "left_semi").select("u", "k1", "k2", F.col("s").alias("start"), end.cast("int").alias("end"))
     contexts = materialise(contexts, "context-bytes")
     order = contexts.where("not hot").repartition("gram").sortWithinPartitions("gram", "after")
-    part = order.mapInArrow(_groups(length, False), _SPAN)
-    windows = contexts.where("hot").mapInArrow(_windows(length), _WINDOW)
+    part = order.mapInArrow(_groups(units, False), _SPAN)
+    windows = contexts.where("hot").mapInArrow(_windows(units), _WINDOW)
     same = windows.groupBy("gram", "window").agg(F.sum("n").alias("all")).where("all > 1").select("gram", "window")
-    split = windows.where("n = 1").join(same, ["gram", "window"], "left_semi").select("k1", "k2", "start", (F.col("start") + length).cast("int").alias("end"))
-    return whole.unionByName(part).unionByName(split)
+    width = F.element_at(F.array(*[F.lit(u.bytes[0]) for u in units]), F.col("u") + 1)
+    split = windows.where("n = 1").join(same, ["gram", "window"], "left_semi").select("u", "k1", "k2", "start", (F.col("start") + width).cast("int").alias("end"))
+    return _placed(whole.unionByName(part).unionByName(split), units)
 
 
-def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Pairs (gram, k1, k2, start, end, k1b, k2b, startb) whose closure gives each maximal repeat of an anchor's context with all its occurrences.
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs (doc_id, text) -> repeat, length, k1, k2, start, rows: every maximal repeat with all its occurrences, one row each.
 
-    Repeats between distinct contexts name the occurrence with the smallest key of each; it is paired with the other
-    occurrences of an equal context, over the whole context and over each repeat found in it. A pair of a row with itself
-    at one place says that the row is repeated.
+    repeat names the group (a hash of its bytes); a repeat is maximal within the context of its anchor, so a longer one
+    is a chain of groups that overlap. rows counts equal rows of documents; a group of one row of output has rows > 1.
+    The output has the size of all groups together, which no method that names every occurrence of every group can avoid.
     """
-    source, again = _repeated(docs, length, gram)
-    counted, contexts = _distinct(source.dropDuplicates(["k1", "k2"]), again, length, 2**62, "kinds > 1")
+    units = (Unit(length, gram),)
+    source, again = _repeated(docs, units)
+    counted, contexts = _distinct(source.dropDuplicates(["k1", "k2"]), again, units, 2**62, "kinds > 1")
     order = contexts.repartition("gram").sortWithinPartitions("gram", "after")
-    pairs = materialise(order.mapInArrow(_groups(length, True), _GROUP), "repeat-pairs")
-    same = counted.where("n > 1").select("gram", "context", F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"), F.col("x.p").alias("p"), "x.s", "x.e")
-    ends = pairs.select("gram", "k1", "k2", "p", "start", "end")
-    far = pairs.select("gram", F.col("k1b").alias("k1"), F.col("k2b").alias("k2"), F.col("pb").alias("p"), F.col("startb").alias("start"), F.expr("startb + end - start").alias("end"))
-    part = ends.unionByName(far).join(same.drop("s", "e"), ["gram", "k1", "k2", "p"])
-    whole = same.select("gram", "context", "k1", "k2", "p", F.col("s").alias("start"), (F.col("e") + length).cast("int").alias("end"))
-    named = part.unionByName(whole).distinct()
-    placed = again.groupBy("gram", "context", F.col("k1").alias("k1b"), F.col("k2").alias("k2b"), F.col("p").alias("pb")).agg(F.count(F.lit(1)).alias("rows"))
-    other = (F.col("k1") != F.col("k1b")) | (F.col("k2") != F.col("k2b")) | (F.col("p") != F.col("pb")) | (F.col("rows") > 1)
-    copies = named.join(placed, ["gram", "context"]).where(other).withColumn("startb", F.col("pb") + F.col("start") - F.col("p"))
-    out = ("gram", "k1", "k2", "start", "end", "k1b", "k2b", "startb")
-    return pairs.select(*out).unionByName(copies.select(*out))
+    part = materialise(order.mapInArrow(_groups(units, True), _GROUP).distinct(), "repeat-parts")
+    whole = counted.where("n > 1").select("gram", "context", F.col("context").alias("repeat"), (F.col("x.e") + length - F.col("x.s")).cast("int").alias("length"), (F.col("x.s") - F.col("x.p")).cast("int").alias("offset"))
+    placed = again.groupBy("gram", "context", "k1", "k2", "p").agg(F.count(F.lit(1)).alias("rows"))
+    named = part.unionByName(whole).join(placed, ["gram", "context"])
+    return named.select("repeat", "length", "k1", "k2", (F.col("p") + F.col("offset")).alias("start"), "rows").distinct()
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of spans that overlap or touch."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return start[first], reach[np.r_[first[1:], len(start)] - 1]
 
 
 def _cut(batches):
-    """(doc_id, text, spans) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+    """(doc_id, text, spans, passages) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, kept."""
     for batch in batches:
-        rows = [[], [], [], [], []]
-        for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+        rows = [[], [], [], [], [], []]
+        for text, found, passages in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            runs, kept, at = 0, [], 0
-            if found.is_valid:
-                start = found.values.field(0).to_numpy()
-                end = found.values.field(1).to_numpy()
-                order = np.argsort(start, kind="stable")
-                start, reach = start[order], np.maximum.accumulate(end[order])
-                new = np.r_[True, start[1:] > reach[:-1]]
-                first = np.flatnonzero(new)
-                for s, e in zip(start[first].tolist(), reach[np.r_[first[1:], len(start)] - 1].tolist(), strict=True):
-                    kept.append(data[at:s])
-                    at = e
-                runs = len(first)
+            runs, counts = [], []
+            for x in (found, passages):
+                full = x.is_valid and len(x)
+                counts.append(merged(x.values.field(0).to_numpy(), x.values.field(1).to_numpy()) if full else ((), ()))
+            kept, at = [], 0
+            for s, e in zip(*(np.asarray(c).tolist() for c in counts[0]), strict=True):
+                kept.append(data[at:s])
+                runs.append(s)
+                at = e
             kept.append(data[at:])
             rest = b"".join(kept)
-            for c, v in zip(rows, (len(data), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest), strict=True):
+            for c, v in zip(rows, (len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), len(counts[1][0]), rest), strict=True):
                 c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))][: batch.num_columns + 3], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept"])
+
 
+def remove(docs: DataFrame, units: tuple[Unit, ...] = UNITS, hot: int = HOT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, kept (the remaining bytes).
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    found = spans(docs.select("doc_id", "text"), length, gram, hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    The first unit's strings are removed; n_passages counts the maximal runs of words in strings of the second.
+    """
+    both = spans(docs.select("doc_id", "text"), units, hot).groupBy("k1", "k2")
+    found = both.agg(*[F.collect_list(F.when(F.col("u") == u, F.struct("start", "end"))).alias(name) for u, name in enumerate(("spans", "passages"))])
     kind = dict(docs.dtypes)["doc_id"]
-    joined = docs.select("doc_id", "text", *row_key()).join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = docs.select("doc_id", "text", *row_key()).join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans", "passages")
+    return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, kept binary")
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
