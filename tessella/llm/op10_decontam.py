@@ -8,20 +8,24 @@ at most k. So the shared q-grams of a text and an item are counted in bands of
 within one band. Bands whose count meets the bound are verified by banded
 semi-global alignment, and regions with at most k edits are hits.
 
-k is EDIT_SHARE of the item's length, lowered where the bound would fall under
-MIN_SHARED so that short items keep a bound that means something; items shorter
-than q + MIN_SHARED - 1 bytes match exactly or not at all.
+k is EDIT_SHARE of the item's length. q is Q, or less for short items, so that
+the bound is MIN_SHARED or more; items too short for that even with grams of
+MIN_Q bytes (12 bytes or less, by the defaults) are hits where they stand
+unchanged, as whole tokens: "yes" is none in "eyesight".
 
 Items are compared in blocks of ITEMS_PER_BLOCK, each one broadcast to the
 executors (a block's bytes are checked against BLOCK_BYTES first), so the
 benchmark may grow: every document meets every block, documents are never
-shuffled.
+shuffled. Pairs of equal grams are made in slices of PAIRS, and a band is judged
+and let go when the text has passed it, so memory does not grow with the text,
+however repetitive text and items are.
 
 Defined cases: null and empty texts, and null and empty items, have no hits;
 equal items each have their own hit; very long texts are processed in whole
 (windows of positions overlap by the longest item); repeated rows give equal
 rows; no documents give no rows and no items no hits; of both tables only id
-and text are read, so other columns may have any name.
+and text are read, so other columns may have any name. item_id must be a whole
+number or null.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, table, text_buffers
 
-Q, EDIT_SHARE, MIN_SHARED = 8, 0.1, 12
+Q, MIN_Q, EDIT_SHARE, MIN_SHARED = 8, 3, 0.1, 8
 ITEMS_PER_BLOCK, BLOCK_BYTES = 4096, 16 << 20
+PAIRS, BANDS = 1 << 20, 512
 _U = np.uint64
 _BITS = 22
 
@@ -44,9 +49,14 @@ def normal(text: bytes) -> bytes:
     return b" ".join(lowered.split())
 
 
-def budget(n: int, q: int = Q, share: float = EDIT_SHARE) -> int:
-    """Edits allowed for an item of n bytes; the lemma's bound n + 1 - q(k + 1) stays at MIN_SHARED or more."""
-    return max(0, min(int(n * share), (n + 1 - MIN_SHARED) // q - 1))
+def budget(n: int, share: float = EDIT_SHARE) -> int:
+    """Edits allowed for an item of n bytes."""
+    return int(n * share)
+
+
+def gram_size(n: int, q: int = Q, share: float = EDIT_SHARE) -> int | None:
+    """The largest gram of at most q bytes with which the lemma asks for MIN_SHARED grams or more; None for items too short for any."""
+    return next((g for g in range(q, MIN_Q - 1, -1) if n + 1 - g * (budget(n, share) + 1) >= MIN_SHARED), None)
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -64,70 +74,75 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return (grams * _U(0x9E3779B97F4A7C15)) >> _U(64 - _BITS)
 
 
-def banded_distance(item: bytes, text: bytes, shift: int, width: int, k: int) -> tuple[int, int] | None:
-    """Least edits and end of item against any part of text, in the band of diagonals shift..shift+width; None if over k."""
-    m, inf = len(item), k + 1
-    # row[d]: cost with the text read up to i + shift + d
-    row = [0 if 0 <= shift + d <= len(text) else inf for d in range(width + 1)]
-    for i in range(1, m + 1):
-        c, new, base, left = item[i - 1], [inf] * (width + 1), i + shift - 1, inf
-        for d in range(width + 1):
-            j = base + d
-            best = left + 1
-            if 0 <= j < len(text):
-                x = row[d] + (text[j] != c)
-                if x < best:
-                    best = x
-            elif j < -1 or j >= len(text) + 1:
-                best = inf
-            if d < width and row[d + 1] + 1 < best:
-                best = row[d + 1] + 1
-            left = new[d] = best if best < inf else inf
-        if min(new) >= inf:
-            return None
-        row = new
-    cost = min(row)
-    return (cost, m + shift + row.index(cost)) if cost <= k else None
-
-
-class Index:
-    """Positions of the q-grams of a block of items."""
+def banded_distances(item: bytes, text: bytes, shifts: np.ndarray, width: int, k: int) -> list[tuple[int, int] | None]:
+    """Of each shift: least edits and end of item against any part of text, in the band of diagonals shift..shift+width; None if over k.
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, share: float = EDIT_SHARE):
-        self.items = [(i, t) for i, t in items if t]
-        self.q = q
-        self.long = [x for x in range(len(self.items)) if len(self.items[x][1]) >= q + MIN_SHARED - 1]
-        self.short = [x for x in range(len(self.items)) if len(self.items[x][1]) < q + MIN_SHARED - 1]
-        self.k = np.array([budget(len(t), q, share) if len(t) >= q + MIN_SHARED - 1 else 0 for _, t in self.items], np.int64)
-        self.n = np.array([len(t) for _, t in self.items], np.int64)
+    All bands are advanced together, one byte of the item at a step.
+    """
+    m, n, inf = len(item), len(text), k + 1
+    out: list[tuple[int, int] | None] = [None] * len(shifts)
+    ahead = np.arange(width + 1, dtype=np.int32)
+    pad = np.frombuffer(text, np.uint8)
+    for first in range(0, len(shifts), BANDS):
+        live = np.arange(first, min(first + BANDS, len(shifts)))
+        at = shifts[live]
+        column = at[:, None] + np.arange(m + width + 1)
+        seg = pad[np.clip(column, 0, max(0, n - 1))] if n else np.zeros(column.shape, np.uint8)
+        ok = (column >= 0) & (column <= n)
+        row = np.where(ok[:, : width + 1], 0, inf).astype(np.int32)
+        for i in range(1, m + 1):
+            # Column i + shift + d: from the cell before on the same diagonal, from above (one diagonal on), or from the left.
+            new = row + (seg[:, i - 1 : i + width] != item[i - 1])
+            new[~((column[:, i - 1 : i + width] >= 0) & (column[:, i - 1 : i + width] < n))] = inf
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            new[~ok[:, i : i + width + 1]] = inf
+            new = np.minimum.accumulate(new - ahead, axis=1) + ahead
+            new[~ok[:, i : i + width + 1]] = inf
+            row = np.minimum(new, inf)
+            if i % 8 == 0 and not (good := row.min(1) <= k).all():
+                live, row, seg, ok, column = live[good], row[good], seg[good], ok[good], column[good]
+                if not len(live):
+                    break
+        for x, r in zip(live.tolist(), row, strict=True):
+            cost = int(r.min())
+            if cost <= k:
+                out[x] = (cost, m + int(shifts[x]) + int(r.argmin()))
+    return out
+
+
+class Grams:
+    """Positions of the q-grams of items that share a gram size."""
+
+    def __init__(self, items: list[bytes], owners: list[int], q: int, share: float):
+        self.q, self.items = q, items
+        self.owners = np.array(owners, np.int64)
+        self.n = np.array([len(t) for t in items], np.int64)
+        self.k = np.array([budget(len(t), share) for t in items], np.int64)
         self.bound = self.n + 1 - q * (self.k + 1)
-        self.longest = int(self.n.max(initial=0))
-        parts = [(_grams(np.frombuffer(self.items[x][1], np.uint8), q), x) for x in self.long]
-        grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, _U)
-        at = np.concatenate([np.arange(len(g)) for g, _ in parts]) if parts else np.zeros(0, np.int64)
-        owner = np.concatenate([np.full(len(g), x) for g, x in parts]) if parts else np.zeros(0, np.int64)
+        self.longest, self.least = int(self.n.max()), int(self.bound.min())
+        parts = [_grams(np.frombuffer(t, np.uint8), q) for t in items]
+        grams = np.concatenate(parts)
+        at = np.concatenate([np.arange(len(g)) for g in parts])
+        owner = np.repeat(np.arange(len(parts)), [len(g) for g in parts])
         order = np.argsort(grams, kind="stable")
         self.grams, self.at, self.owner = grams[order], at[order], owner[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[_slot(self.grams)] = True
-        self.least = int(self.bound[self.long].min()) if self.long else 0
 
-    def hits(self, text: np.ndarray):
-        """(item number, start, end, edits) of each verified region of a normalised text."""
-        if len(text) < self.q or not self.long:
+    def bands(self, text: np.ndarray):
+        """(items, lowest diagonals) of the bands of a text that meet their bound, as the text passes them."""
+        if len(text) < self.least + self.q - 1:
             return
         grams = _grams(text, self.q)
         pos = np.flatnonzero(self.seen[_slot(grams)])
-        if len(pos) < self.least:
+        if len(pos) == 0:
             return
         g = grams[pos]
         lo, hi = np.searchsorted(self.grams, g, "left"), np.searchsorted(self.grams, g, "right")
         real = hi > lo
         pos, lo, hi = pos[real], lo[real], hi[real]
-        if len(pos) < self.least:
-            return
         # Positions that no region can hold enough shared grams around are left out before pairs are made.
-        span = self.longest + int(self.k.max(initial=0)) + 1
+        span = self.longest + int(self.k.max()) + 1
         right = np.searchsorted(pos, pos + span, "left")
         dense = right - np.arange(len(pos)) >= self.least
         if not dense.any():
@@ -136,42 +151,80 @@ class Index:
         np.add.at(cover, np.flatnonzero(dense), 1)
         np.add.at(cover, right[dense], -1)
         keep = np.cumsum(cover[:-1]) > 0
-        pos, lo, hi = pos[keep], lo[keep], hi[keep]
-        count = hi - lo
-        step = max(1, int(4_000_000 // max(1, int(count.max()))))
-        pairs_owner, pairs_diag, pairs_at = [], [], []
-        for a in range(0, len(pos), step):
-            c = count[a : a + step]
-            which = np.repeat(np.arange(len(c)), c)
-            into = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + lo[a : a + step][which]
-            pairs_owner.append(self.owner[into])
-            pairs_diag.append(pos[a : a + step][which] - self.at[into])
-            pairs_at.append(self.at[into])
-        owner, diag = np.concatenate(pairs_owner), np.concatenate(pairs_diag)
-        # Cells of k + 1 diagonals; a band is a cell and the next, so bands overlap by a cell.
-        cell = (diag + self.longest) // (self.k[owner] + 1)
+        pos, lo, count = pos[keep], lo[keep], (hi - lo)[keep]
         wide = len(text) + self.longest + 2
-        # The lemma speaks of the item's q-grams: one that meets the text twice in a cell counts once.
-        each = np.unique((owner * wide + cell) * self.longest + np.concatenate(pairs_at))
-        keys, shared = np.unique(each // self.longest, return_counts=True)
-        shared[:-1] += np.where(keys[1:] == keys[:-1] + 1, shared[1:], 0)
-        raw, seen = text.tobytes(), set()
-        good = shared >= self.bound[keys // wide]
-        for o, b in zip((keys[good] // wide).tolist(), (keys[good] % wide).tolist(), strict=True):
-            k, item = int(self.k[o]), self.items[o][1]
-            low = b * (k + 1) - self.longest
-            exact = raw.find(item, max(0, low), max(0, low + 2 * k + 2 + len(item)))
-            got = (0, exact + len(item)) if exact >= 0 else banded_distance(item, raw, low - k, 4 * k + 2, k)
-            if got and (o, got[1]) not in seen:
-                seen.add((o, got[1]))
-                yield o, max(0, got[1] - len(item)), got[1], got[0]
+        upto = np.cumsum(count)
+        held = np.zeros(0, np.int64)
+        a = 0
+        while a < len(pos):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+            c = count[a:b]
+            which = np.repeat(np.arange(b - a), c)
+            into = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + lo[a:b][which]
+            owner = self.owner[into]
+            # Cells of k + 1 diagonals; a band is a cell and the next, so bands overlap by a cell.
+            cell = (pos[a:b][which] - self.at[into] + self.longest) // (self.k[owner] + 1)
+            # The lemma speaks of the item's q-grams: one that meets the text twice in a cell counts once.
+            held = np.unique(np.concatenate([held, (owner * wide + cell) * self.longest + self.at[into]]))
+            keys, shared = np.unique(held // self.longest, return_counts=True)
+            o, cell = keys // wide, keys % wide
+            # A cell is done when the text has passed the cell after it too.
+            done = np.full(len(keys), True) if b == len(pos) else (cell + 2) * (self.k[o] + 1) - self.longest + self.n[o] <= pos[b]
+            both = shared.copy()
+            both[:-1] += np.where(keys[1:] == keys[:-1] + 1, shared[1:], 0)
+            good = done & (both >= self.bound[o])
+            if good.any():
+                yield o[good], cell[good] * (self.k[o[good]] + 1) - self.longest
+            held = held[~np.repeat(done, shared)]
+            a = b
+
+    def hits(self, text: np.ndarray, raw: bytes, exact: set[int]):
+        """(item, start, end, edits) of each verified region; of items that stand unchanged only the first."""
+        for o, low in self.bands(text):
+            for x in np.unique(o).tolist():
+                owner, item, k = int(self.owners[x]), self.items[x], int(self.k[x])
+                if owner in exact:
+                    continue
+                lows = low[o == x]
+                found = next((at for l in lows.tolist() if (at := raw.find(item, max(0, l), max(0, l + 2 * k + 2 + len(item)))) >= 0), -1)
+                if found >= 0:
+                    exact.add(owner)
+                    yield owner, found, found + len(item), 0
+                    continue
+                for got in banded_distances(item, raw, lows - k, 4 * k + 2, k):
+                    if got:
+                        yield owner, max(0, got[1] - len(item)), got[1], got[0]
+
+
+class Index:
+    """The items of a block: by gram size, and those that are too short for grams."""
+
+    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, share: float = EDIT_SHARE):
+        self.items = [(i, t) for i, t in items if t]
+        sizes = [gram_size(len(t), q, share) for _, t in self.items]
+        self.short = [x for x, g in enumerate(sizes) if g is None]
+        self.parts = []
+        for g in sorted(set(sizes) - {None}):
+            owners = [x for x, s in enumerate(sizes) if s == g]
+            self.parts.append(Grams([self.items[x][1] for x in owners], owners, g, share))
+        self.longest = max((len(t) for _, t in self.items), default=0)
 
     def short_hits(self, raw: bytes):
+        """Items that stand in the text as whole tokens."""
         for o in self.short:
             item = self.items[o][1]
             at = raw.find(item)
-            if at >= 0:
-                yield o, at, at + len(item), 0
+            while at >= 0:
+                end = at + len(item)
+                if not (_INNER[item[0]] and at and _INNER[raw[at - 1]]) and not (_INNER[item[-1]] and end < len(raw) and _INNER[raw[end]]):
+                    yield o, at, end, 0
+                    break
+                at = raw.find(item, at + 1)
+
+
+#: Bytes of tokens: letters, digits, _ and all beyond ASCII.
+_INNER = np.zeros(256, bool)
+_INNER[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 
 
 _HITS = "array<struct<item_id:long,start:long,end:long,edits:long>>"
@@ -184,11 +237,14 @@ def _text_hits(index: Index, raw: bytes) -> list[dict]:
     text = np.frombuffer(raw, np.uint8)
     margin = 2 * index.longest + 64
     best: dict[int, tuple] = {}
+    exact: set[int] = set()
     for a in range(0, max(1, len(text)), CHUNK_BYTES):
-        lo = max(0, a - margin)
-        for o, s, e, d in index.hits(text[lo : a + CHUNK_BYTES]):
-            if o not in best or (d, s + lo) < (best[o][2], best[o][0]):
-                best[o] = (s + lo, e + lo, d)
+        lo, hi = max(0, a - margin), a + CHUNK_BYTES
+        part = raw if lo == 0 and hi >= len(raw) else raw[lo:hi]
+        for grams in index.parts:
+            for o, s, e, d in grams.hits(text[lo:hi], part, exact):
+                if o not in best or (d, s + lo) < (best[o][2], best[o][0]):
+                    best[o] = (s + lo, e + lo, d)
     for o, s, e, d in index.short_hits(raw):
         best[o] = (s, e, d)
     return [{"item_id": index.items[o][0], "start": s, "end": e, "edits": d} for o, (s, e, d) in sorted(best.items())]

@@ -1,4 +1,6 @@
 import random
+import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -35,29 +37,73 @@ def edited(rng, s, k):
     return "".join(s)
 
 
+def whole(item, raw):
+    """Whether a short item stands in a text as whole tokens."""
+    inner = r"[0-9a-z_A-Z\x80-\xff]".encode()
+    return re.search((b"(?<!" + inner + b")" if re.match(inner, item[:1]) else b"") + re.escape(item) + (b"(?!" + inner + b")" if re.match(inner, item[-1:]) else b""), raw) is not None
+
+
 def test_against_whole_matrix():
     rng = random.Random(10)
-    items = [(i, m.normal(words(rng, rng.randrange(5, 40)).encode())) for i in range(12)] + [(50, b"tiny item"), (51, b"x" * 19)]
+    items = [(i, m.normal(words(rng, rng.randrange(2, 40)).encode())) for i in range(24)] + [(50, b"tiny item"), (51, b"x" * 19), (52, b"a b"), (53, b"+1")]
+    assert {m.gram_size(len(t)) for _, t in items} >= {None, 4, 6, 7, 8}
     index = m.Index(items)
     caught = 0
-    for n in range(60):
+    for n in range(120):
         text = words(rng, rng.randrange(60))
         if n % 3:
-            i = rng.randrange(12)
+            i = rng.randrange(24)
             k = m.budget(len(items[i][1])) if n % 2 else m.budget(len(items[i][1])) * 2
             text += " " + edited(rng, items[i][1].decode(), k) + " " + words(rng, 10)
-        raw = m.normal(text.encode())
+        raw = m.normal((text + rng.choice([" a b", "a b", " tiny item", "+1", "x+1", ""])).encode())
         got = {h["item_id"] for h in m._text_hits(index, raw)}
-        want = {i for i, t in items if (semi_global(t, raw) <= m.budget(len(t)) if len(t) >= m.Q + m.MIN_SHARED - 1 else t in raw)}
+        want = {i for i, t in items if (semi_global(t, raw) <= m.budget(len(t)) if m.gram_size(len(t)) else whole(t, raw))}
         assert got == want
         caught += len(want)
-    assert caught > 15
-
-
-def test_banded_distance_is_exact_in_its_band():
-    assert m.banded_distance(b"abcdef", b"xxabcdefyy", 2, 0, 0) == (0, 8)
-    assert m.banded_distance(b"abcdef", b"xxabXdefyy", 1, 2, 2)[0] == 1
-    assert m.banded_distance(b"abcdef", b"", 0, 2, 1) is None
+    assert caught > 40
+
+
+def test_slices_of_pairs_lose_nothing(monkeypatch):
+    rng = random.Random(3)
+    items = [(i, m.normal(words(rng, 12).encode())) for i in range(6)] + [(9, b"ab" * 60)]
+    text = " ".join(words(rng, 30) + " " + edited(rng, t.decode(), m.budget(len(t))) for _, t in items * 3)
+    raw = m.normal(text.encode())
+    want = m._text_hits(m.Index(items), raw)
+    for pairs in (1, 7, 100):
+        monkeypatch.setattr(m, "PAIRS", pairs)
+        assert m._text_hits(m.Index(items), raw) == want and len(want) >= 6
+
+
+def test_repetitive_text_in_bounded_memory():
+    """One item of 200 dashes, and one that never fits, against a line of two million dashes."""
+    index = m.Index([(1, b"-" * 200), (2, b"-" * 150 + bytes(range(97, 123)) * 2)])
+    tracemalloc.start()
+    got = m._text_hits(index, b"-" * 300_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(h["item_id"], h["start"], h["edits"]) for h in got] == [(1, 0, 0)] and peak < 300 << 20
+
+
+def test_short_items_need_whole_tokens():
+    index = m.Index([(1, b"yes"), (2, b"no.")])
+    ids = lambda t: [h["item_id"] for h in m._text_hits(index, t)]
+    assert ids(b"eyesight, no.") == [2] and ids(b"eyes yes") == [1] and ids(b"yes") == [1] and ids("yesé".encode()) == [] and ids(b"piano. no") == []
+
+
+def test_banded_distances_are_exact_in_their_bands():
+    one = lambda item, text, shift, width, k: m.banded_distances(item, text, np.array([shift]), width, k)[0]
+    assert one(b"abcdef", b"xxabcdefyy", 2, 0, 0) == (0, 8)
+    assert one(b"abcdef", b"xxabXdefyy", 1, 2, 2)[0] == 1
+    assert one(b"abcdef", b"", 0, 2, 1) is None
+    rng = random.Random(2)
+    for _ in range(60):
+        item = words(rng, 4).encode()
+        text = (words(rng, 3) + edited(rng, item.decode(), rng.randrange(4)) + words(rng, 2)).encode()
+        k = 3
+        got = m.banded_distances(item, text, np.arange(-k, len(text) - len(item) + k), 2 * k, k)
+        least = min((g[0] for g in got if g), default=None)
+        want = semi_global(item, text)
+        assert least == (want if want <= k else None)
 
 
 def test_edges(spark):
