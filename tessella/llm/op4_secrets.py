@@ -4,16 +4,18 @@ The fixed kinds (assign, access, hex) are leftmost non-overlapping matches with
 a length rule. A regular expression function gives matches but not positions,
 so positions are running sums over the pieces between matches and the matches.
 
-The battery takes every run of 20 or more token characters that has both
-letters and digits, infers its encoding (hex, base32, base64) and tests the
+The battery takes every run of 20 or more token characters, infers its encoding
+(hex, base32, base64) and tests the
 hypothesis that its symbols are uniform and independent: chi-squared over the
 alphabet, Wald-Wolfowitz runs about the alphabet's middle, lag-1 serial
 correlation; Fisher's method joins the three. Random tokens have uniform
 p-values, structured ones p-values near 0. Per length stratum and encoding the
 number of random tokens is estimated from the upper half of the p-values
 (Storey), which gives the expected share of structured tokens above any bound;
-the smallest bound at which this share is at most ``FDR`` is used. Tokens above
-the bound that no fixed span overlaps are added as kind ``random``.
+the smallest bound at which this share is at most ``FDR`` is used. A stratum of
+fewer than ``THIN`` tokens takes the counts of its encoding at every length, and
+an encoding of fewer those of all, so that a lone token is judged by its like.
+Tokens above the bound that no fixed span overlaps are added as kind ``random``.
 
 The bounds come from counts over all documents: a histogram of at most
 strata x encodings x bins = 6 x 3 x 50 rows, the only thing the driver sees.
@@ -25,8 +27,6 @@ columns are not read and may have any name.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ KINDS = (
 )
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 RANDOM_KIND = "random"
-FDR, BINS = 0.05, 50
+FDR, BINS, THIN, RUN = 0.05, 50, 50, 128
 STRATA = (24, 32, 40, 64, 128)
 ENCODINGS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -62,11 +62,18 @@ def matches(text: Column, pattern: str, group: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["h"])
+        end = start + F.coalesce(F.length(x["h"]), F.lit(0))
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))
-        return F.when(x["h"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out")))
-
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+
+    # Runs of RUN matches, each summed from 0, then the runs' own offsets: appending to one long list would copy it at every match.
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN)), lambda i: F.aggregate(F.slice(rows, (i * RUN + 1).cast("int"), F.lit(RUN)), begin, step))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    offsets_of = lambda p: F.aggregate(p, first, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    shift = lambda p, o: F.transform(p["out"], lambda m: F.struct((m["start"] + o).alias("start"), (m["end"] + o).alias("end"), m["value"].alias("value")))
+    both = F.transform(F.array(F.struct(parts.alias("p"))), lambda s: F.zip_with(s["p"], offsets_of(s["p"]), shift))
+    found = F.filter(F.flatten(both[0]), lambda m: m["value"].isNotNull())
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
@@ -89,7 +96,7 @@ def _two_sided(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<encoding int, p double> of one token; null if it has no letter or no digit."""
+    """struct<encoding int, p double> of one token; null if it has under 20 characters or no encoding."""
     body = F.regexp_replace(token, "=+$", "")
     encoding = F.lit(None).cast("int")
     for k in reversed(range(len(ENCODINGS))):
@@ -127,7 +134,7 @@ def battery(token: Column) -> Column:
 
     # One-element arrays stand for local variables: each is computed once.
     done = F.transform(F.transform(F.array(state), counts), stats)
-    return F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]") & (F.length(body) >= 20) & encoding.isNotNull(), F.element_at(done, 1))
+    return F.when((F.length(body) >= 20) & encoding.isNotNull(), F.element_at(done, 1))
 
 
 def candidates(text: Column) -> Column:
@@ -144,22 +151,23 @@ def stratum(length: Column) -> Column:
     return out
 
 
-def bounds(histogram: list[tuple[int, int, int, int]], fdr: float = FDR) -> dict[tuple[int, int], float]:
+def bounds(histogram: list[tuple[int, int, int, int]], fdr: float = FDR, thin: int = THIN) -> dict[tuple[int, int], float]:
     """(stratum, encoding, bin of p, count) -> the least p that counts as random, by stratum and encoding."""
-    cells: dict[tuple[int, int], list[int]] = {}
+    cells: dict[tuple, list[int]] = {}
     for s, e, b, n in histogram:
-        cells.setdefault((s, e), [0] * BINS)[b] += n
+        for key in ((s, e), (None, e), (None, None)):
+            cells.setdefault(key, [0] * BINS)[b] += n
     out = {}
-    for key, count in cells.items():
+    for s, e in [k for k in cells if k[0] is not None]:
+        count = next((cells[k] for k in ((s, e), (None, e)) if sum(cells[k]) >= thin), cells[None, None])
         random_ = 2.0 * sum(count[BINS // 2 :])
-        for b in range(BINS):
+        for b in range(1, BINS):
             above = sum(count[b:])
-            if above and max(0.0, above - random_ * (1 - b / BINS)) <= fdr * above + math.sqrt(above) * 0.5:
-                out[key] = b / BINS
+            if above and max(0.0, above - random_ * (1 - b / BINS)) <= fdr * above:
+                out[s, e] = b / BINS
                 break
         else:
-            out[key] = 1.0
-        out[key] = max(out[key], 1.0 / BINS)
+            out[s, e] = 1.0
     return out
 
 

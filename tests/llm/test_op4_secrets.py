@@ -44,6 +44,32 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert len(hit & set(range(60))) >= 50 and not hit & set(range(60, 120))
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=abc{i}def x" for i in range(700)) + " " + "AKIA" * 6
+    assert run(spark, [(1, text, "")])[0][1] == brute(text)
+
+
+def test_letters_alone_are_tested(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(80)]
+    letters = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(64)) for _ in range(80)]
+    dull = ["internationalisation" * 2, "a-very-long-title-of-a-page-in-a-path", "Donaudampfschifffahrtsgesellschaft"] * 20
+    out = run(spark, [(i, f"see {k} here", "") for i, k in enumerate(keys + letters + dull)])
+    hit = {i for i, _, f in out if "random:" in f}
+    assert len(hit & set(range(80))) >= 60 and not hit & set(range(160, 220)) and hit & set(range(80, 160))
+
+
+def test_thin_strata_borrow_from_their_like():
+    full = [(2, 2, b, 4) for b in range(m.BINS)]
+    limits = m.bounds([*full, (0, 2, 20, 1), (0, 0, 30, 1)])
+    assert limits[0, 2] == limits[2, 2] == limits[0, 0] == 1 / m.BINS
+    structured = m.bounds([(2, 2, 0, 500), *full])
+    assert 1 / m.BINS <= structured[2, 2] <= 0.1
+    # The share of structured tokens above the bound is controlled: many of middling p push it up.
+    assert m.bounds([(1, 1, 10, 300), *[(1, 1, b, 2) for b in range(m.BINS)]])[1, 1] > 10 / m.BINS
+    assert m.bounds([(1, 1, 3, 5)])[1, 1] == 1.0
+
+
 def test_no_rows(spark):
     assert run(spark, []) == []
 
