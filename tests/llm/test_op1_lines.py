@@ -23,12 +23,10 @@ def brute(rows, min_docs):
         made = []
         for words, _ in sorted(templates.items(), key=lambda x: (-x[1], x[0])):
             n = len(words)
-            cuts = [n * q // 4 for q in range(5)]
             hit = None
             for g in made:
-                shared = any(g["first"][a:b] == words[a:b] for a, b in zip(cuts, cuts[1:]))
                 share = sum(a == b and f for a, b, f in zip(g["first"], words, g["fixed"])) / n
-                if shared and share >= m.SIMILARITY and (hit is None or share > hit[0]):
+                if share >= m.SIMILARITY and (hit is None or share > hit[0]):
                     hit = (share, g)
             if hit is None:
                 hit = (1, {"first": words, "fixed": [True] * n})
