@@ -7,22 +7,25 @@ into the document's quality, which a logistic map fitted on the same rows turns
 into a score.
 
 Training uses at most ``TRAIN_DOCS`` labelled documents (those with the
-smallest hash of their id), all lines of each, and fewer documents where they
-have more than ``TRAIN_LINES`` lines together, which bounds the driver's memory;
-scoring reads every line of
-every document, in batches, without a shuffle. No label, language, source or id
-enters a score.
+smallest hash of their id), all lines of each, and runs on the executors by
+iterative parameter mixing: the documents are dealt by hash to shards of about
+``SHARD_DOCS``, each shard goes on from the common parameters for some epochs over
+batches of whole chains, and the driver averages what the shards return, ``ROUNDS``
+times. The driver sees parameters, sums of features and one figure a document for
+the logistic map, never texts or lines. Scoring reads every line of every
+document, in batches, without a shuffle. No label, language, source or id enters
+a score.
 
 Defined cases: null text is empty; a text without lines of content is one empty
 line and gets the score that the chain gives to that; lines of any length are
 one step; without training rows of both labels every score is the share of
-good labels (0.5 without labels); repeated rows get equal rows; no documents
+good labels (0.5 without labels); repeated rows get equal rows, and of several
+texts of a labelled id the one with the smallest hash is learned; no documents
 give no rows; of documents only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, table, text_buffers, word_hashes, word_spans
+from .common import _IS_SPACE, materialise, table, text_buffers, word_hashes, word_spans
 
-TRAIN_DOCS, TRAIN_LINES, THRESHOLD, FOLDS = 3000, 3000 * 64, 0.3, 5
-EPOCHS, RATE, L2 = 120, 0.05, 1e-3
+TRAIN_DOCS, THRESHOLD, FOLDS = 6000, 0.3, 5
+SHARD_DOCS, BATCH_DOCS, ROUNDS, EPOCHS, RATE, L2 = 500, 64, 3, 5, 0.05, 1e-3
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 stop, 5 other ASCII sign, 6 beyond ASCII, 0 space and control
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 _CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = 4
@@ -181,40 +184,60 @@ def chain(emission: np.ndarray, move: np.ndarray, rows: np.ndarray, labels: np.n
     return gamma[:, 1], expected - seen
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Train on whole documents with one label each."""
-    share = float(labels.mean()) if len(labels) else 0.5
-    width = OWN * 4 + 3
-    if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), constant=share)
-    xs, lengths, rows = [], [], []
-    for lo, hi, buf, offs in text_buffers(pa.array(texts, pa.binary()), 1 << 18):
-        x, size, r = features(buf, offs)
-        xs.append(with_neighbours(x, r))
-        lengths.append(size)
-        rows.append(r + lo)
-    x, size, rows = np.concatenate(xs), np.concatenate(lengths), np.concatenate(rows)
-    del xs
-    mean, scale = x.mean(0, np.float64), x.std(0, np.float64) + 1e-6
-    mean[-1], scale[-1] = 0.0, 1.0
-    x -= mean.astype(np.float32)
-    x /= scale.astype(np.float32)
-    y = labels[rows].astype(np.int64)
-    # Both labels weigh the same, and so does each document, whatever its lines.
-    per_doc = np.bincount(rows, minlength=len(labels))[rows]
-    weight = 1.0 / per_doc * np.where(y == 1, 0.5 / share, 0.5 / (1.0 - share))
-    weight *= len(weight) / weight.sum()
-    w, move = np.zeros(x.shape[1]), np.zeros((2, 2))
-    m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    for step in range(1, epochs + 1):
-        p, gap = chain((x @ w.astype(np.float32)).astype(np.float64), move, rows, y)
-        g = np.r_[x.T @ ((p - y) * weight).astype(np.float32) / len(x) + L2 * w, (gap / len(x) + L2 * move).ravel()]
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        d = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        w, move = w - d[:-4], move - d[-4:].reshape(2, 2)
-    model = Model(mean, scale, w, move)
-    q = _logit(_aggregate(chain(x @ w, move, rows), size, rows, len(labels)))
-    for _ in range(50):  # Newton steps of the logistic map
+WIDTH = OWN * 4 + 3
+
+
+@dataclass
+class Chains:
+    """Documents of a shard: own features and lengths of their lines, and their labels."""
+
+    x: list[np.ndarray]
+    size: list[np.ndarray]
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, table_: pa.Table | pa.RecordBatch) -> Chains:
+        """From (key, quality, size, x), in order of length and key, whatever order the rows came in."""
+        if isinstance(table_, pa.RecordBatch):
+            table_ = pa.Table.from_batches([table_])
+        size = [np.frombuffer(v.as_buffer(), np.float64) for v in table_.column("size")]
+        x = [np.frombuffer(v.as_buffer(), np.float32).reshape(-1, OWN) for v in table_.column("x")]
+        order = sorted(range(len(x)), key=lambda i: (len(x[i]), keys[i])) if (keys := table_.column("key").to_pylist()) else []
+        return cls([x[i] for i in order], [size[i] for i in order], np.array([table_.column("quality")[i].as_py() for i in order], np.int64))
+
+    def batches(self, docs: int = BATCH_DOCS):
+        """(features with neighbours, lengths, rows, labels) of runs of documents, each whole."""
+        for lo in range(0, len(self.x), docs):
+            part = self.x[lo : lo + docs]
+            rows = np.repeat(np.arange(len(part)), [len(v) for v in part])
+            yield with_neighbours(np.concatenate(part), rows), np.concatenate(self.size[lo : lo + docs]), rows, self.labels[lo : lo + docs]
+
+
+def descend(chains: Chains, model: Model, share: float, epochs: int = EPOCHS) -> Model:
+    """model after some epochs of Adam over the batches of a shard; share is that of good documents in all shards."""
+    w, move = model.weights.copy(), model.move.copy()
+    m1, m2, step = np.zeros(len(w) + 4), np.zeros(len(w) + 4), 0
+    mean, scale = model.mean.astype(np.float32), model.scale.astype(np.float32)
+    ready = [((x - mean) / scale, rows, labels) for x, _, rows, labels in chains.batches()]
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(ready)):
+            x, rows, labels = ready[k]
+            y = labels[rows]
+            # Both labels weigh the same, and so does each document, whatever its lines.
+            weight = 1.0 / np.bincount(rows)[rows] * np.where(y == 1, 0.5 / share, 0.5 / (1.0 - share))
+            weight *= len(weight) / weight.sum()
+            p, gap = chain((x @ w.astype(np.float32)).astype(np.float64), move, rows, y)
+            g = np.r_[x.T @ ((p - y) * weight).astype(np.float32) / len(x) + L2 * w, (gap / len(x) + L2 * move).ravel()]
+            step += 1
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+            d = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+            w, move = w - d[:-4], move - d[-4:].reshape(2, 2)
+    return Model(model.mean, model.scale, w, move)
+
+
+def calibrate(model: Model, q: np.ndarray, labels: np.ndarray) -> Model:
+    """model with the logistic map that fits the labels to the documents' logits, by Newton steps."""
+    for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-(model.slope * q + model.shift)))
         h, r = p * (1 - p) + 1e-6, p - labels
         grad = np.array([(r * q).sum() + 1e-2 * (model.slope - 1.0), r.sum()])
@@ -225,6 +248,12 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     return model
 
 
+def document_logits(model: Model, x: np.ndarray, size: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Logit of each document's length-weighted marginal, from features with neighbours."""
+    e = ((x.astype(np.float64) - model.mean) / model.scale) @ model.weights
+    return _logit(_aggregate(chain(e, model.move, rows), size, rows, n))
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
@@ -244,8 +273,7 @@ def score_batch(model: Model, column: pa.Array):
             out[lo:hi] = model.constant
             continue
         x, size, rows = features(buf, offs)
-        x = (with_neighbours(x, rows).astype(np.float64) - model.mean) / model.scale
-        q = _logit(_aggregate(chain(x @ model.weights, model.move, rows), size, rows, hi - lo))
+        q = document_logits(model, with_neighbours(x, rows), size, rows, hi - lo)
         out[lo:hi] = 1.0 / (1.0 + np.exp(-(model.slope * q + model.shift)))
     return out
 
@@ -255,16 +283,68 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
+_FEATURED = "key long, quality int, size binary, x binary"
+
+
+def _featured(batches):
+    """(key, quality, text) -> key, quality, size, x: lengths and own features of each document's lines."""
+    for batch in batches:
+        for lo, hi, buf, offs in text_buffers(batch.column(2)):
+            x, size, rows = features(buf, offs)
+            at = np.searchsorted(rows, np.arange(hi - lo + 1))
+            cut = lambda v: pa.array([np.ascontiguousarray(v[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), cut(size), cut(x)], names=["key", "quality", "size", "x"])
+
+
+def _moments(batches):
+    """Number of lines, sums and sums of squares of their features."""
+    total = np.zeros(1 + 2 * WIDTH)
+    for batch in batches:
+        for x, _, _, _ in Chains.of(batch).batches():
+            x = x.astype(np.float64)
+            total += np.r_[len(x), x.sum(0), (x * x).sum(0)]
+    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, shard_docs: int = SHARD_DOCS, rounds: int = ROUNDS) -> Model:
     """Model from the labelled documents outside the held-out fold, at most ``limit`` of them."""
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    lines = np.cumsum([0, *((r.text or "").count("\n") + 1 for r in rows[:-1])])
-    rows = [r for r, before in zip(rows, lines.tolist()) if before < TRAIN_LINES]
-    return fit([(r.text or "").encode() for r in rows], np.array([r.quality for r in rows], np.int64))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    data = materialise(rows.select(F.xxhash64("doc_id").alias("key"), "quality", "text").mapInArrow(_featured, _FEATURED), "train-features")
+    n, good = data.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    zeros = np.zeros(WIDTH)
+    if not 0 < good < n:
+        return Model(zeros, np.ones(WIDTH), zeros, np.zeros((2, 2)), constant=good / n if n else 0.5)
+    sums = np.sum([r.v for r in data.mapInArrow(_moments, "v array<double>").collect()], axis=0)
+    mean = sums[1 : 1 + WIDTH] / sums[0]
+    scale = np.sqrt(np.maximum(sums[1 + WIDTH :] / sums[0] - mean * mean, 0.0)) + 1e-6
+    # The order in which sums meet must not show in the model.
+    mean, scale = np.round(mean, 6), np.round(scale, 6) + 1e-6
+    mean[-1], scale[-1] = 0.0, 1.0
+    model, share = Model(mean, scale, zeros, np.zeros((2, 2))), good / n
+    shards = data.withColumn("shard", F.pmod("key", F.lit(-(-n // shard_docs)))).groupBy("shard")
+    for _ in range(rounds):
+
+        def run(part: pa.Table) -> pa.Table:
+            new = descend(Chains.of(part), model, share)  # noqa: B023 - each round is collected before the next
+            return pa.table({"shard": part.column("shard")[:1].cast(pa.int64()), "docs": pa.array([len(part)], pa.int64()), "v": pa.array([[*new.weights, *new.move.ravel()]], pa.list_(pa.float64()))})
+
+        found = sorted(shards.applyInArrow(run, "shard long, docs long, v array<double>").collect())
+        v = np.average([r.v for r in found], axis=0, weights=[r.docs for r in found])
+        model = Model(mean, scale, v[:-4], v[-4:].reshape(2, 2))
+
+    def logits(batches):
+        for batch in batches:
+            chains = Chains.of(batch)
+            q = [document_logits(model, x, size, rows, len(y)) for x, size, rows, y in chains.batches()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q) if q else [], pa.float64()), pa.array(chains.labels, pa.int64())], names=["q", "y"])
+
+    pairs = np.array(sorted(map(tuple, data.mapInArrow(logits, "q double, y long").collect())))
+    return calibrate(model, pairs[:, 0], pairs[:, 1])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessella.llm import op8_quality as m
 
@@ -75,16 +76,30 @@ def test_labels_of_one_kind(spark):
     assert m.score(docs, one).first().score == 1.0 and m.score(docs, none).first().score == 0.5
 
 
-def test_trains_and_calibrates_on_whole_chains(spark, monkeypatch):
+def test_trains_on_whole_chains_in_shards(spark, tmp_path):
+    """Every line of every chosen document is in one shard's chains, as neighbours; the order of rows does not show."""
     texts = ["\n".join(f"{w} {i} words" for i in range(n)) for w, n in (("Good", 150), ("bad!", 90), ("Fine", 3))]
-    seen, chain, fit = [], m.chain, m.fit
-    monkeypatch.setattr(m, "chain", lambda e, move, rows, labels=None: seen.append(np.bincount(rows).tolist()) or chain(e, move, rows, labels) if labels is not None else chain(e, move, rows))
-    m.fit([t.encode() for t in texts], np.array([1, 0, 1]), epochs=2)
-    assert seen == [[150, 90, 3]] * 2
-    # The total of lines is bounded by taking fewer documents, each of them whole.
-    taken = []
-    monkeypatch.setattr(m, "fit", lambda texts, labels: taken.extend(texts) or fit(texts, labels, epochs=1))
-    monkeypatch.setattr(m, "TRAIN_LINES", 200)
-    docs = spark.createDataFrame([(i, texts[0]) for i in range(20)], "doc_id long, text string")
-    m.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
-    assert taken == [texts[0].encode()] * 2
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(30)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 <> 1 as int) as quality")
+    rows = docs.selectExpr("doc_id as key", "1 as quality", "text").mapInArrow(m._featured, m._FEATURED).toArrow()
+    assert sorted(len(x) for x in m.Chains.of(rows).x) == [3] * 10 + [90] * 10 + [150] * 10
+    (x, size, r, y), *more = m.Chains.of(rows).batches()
+    (_, _, buf, offs), = m.text_buffers(pa.array([texts[2]]))
+    own, _, one = m.features(buf, offs)
+    assert not more and len(y) == 30 and np.array_equal(x[:3], m.with_neighbours(own, one))
+    models = [m.train(d, labels, shard_docs=4, rounds=2) for d in (docs, docs.orderBy(m.F.desc("doc_id")).repartition(3))]
+    assert np.allclose(models[0].weights, models[1].weights) and models[0].slope == pytest.approx(models[1].slope)
+    scores = {r.doc_id % 3: r.score for r in m.score(docs, models[0]).collect()}
+    assert scores[1] < 0.3 < scores[0]
+    fewer = m.train(docs, labels, limit=2)
+    assert fewer.constant is not None or np.isfinite(fewer.weights).all()
+
+
+def test_mixing_learns_as_one_shard_does(spark):
+    rows = corpus(600, 3)
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, quality int")
+    truth = {a: c for a, _, c in rows}
+    for size in (10_000, 60):
+        out = m.score(docs, m.train(docs, labels, shard_docs=size)).withColumn("held", m.held_out(m.F.col("doc_id"))).where("held").collect()
+        assert np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in out]) > 0.97
