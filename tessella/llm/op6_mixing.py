@@ -4,7 +4,9 @@ Every source gets a word budget. Whole epochs come first: each document is
 taken floor(target / size of the source) times. The rest of the budget goes to
 the documents with the smallest exponential keys -ln(u) / quality, where u is
 uniform in the document's id, until the prefix sum of sizes meets the budget;
-the document at the boundary gives only the words that are left.
+the document at the boundary gives only the words that are left. The quality
+weight falls with odd signs in the text and with an odd mean word length, or is
+any expression that the caller gives.
 
 A prefix sum over a source that holds a third of all rows never meets in one
 task: keys are binned (``BINS`` bins a level, two levels), bin totals are
@@ -14,8 +16,8 @@ source (about 1 in BINS**2 of its rows) are ordered one by one.
 Defined cases: null or empty text has size 0 and takes 0 words; a null source
 is a source of its own, last in order; repeated rows are separate rows of equal
 rank, and rows equal in all they are ranked by share their place by any order;
-no rows give no rows. Of the input, only doc_id, text and source are read, so
-other columns may have any name.
+no rows give no rows; very long texts are read whole. Of the input, only doc_id,
+text, source and the columns to keep are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,10 +36,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Characters that prose has few of: no letters, marks, white space or stops.
+ODD = r"""[^\p{L}\p{M}\x20\x09-\x0D.,;:!?'"()-]"""
+
+
 def quality_weight(text: Column, size: Column) -> Column:
-    """Weight in [0.25, 1] from the mean word length: 1 at 5 letters, less the further away."""
-    mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.25), 1.0 / (1.0 + F.abs(mean - 5.0) / 10.0)), F.lit(0.25))
+    """Weight in [0.25, 1]: the share of text free of odd characters (0 from a quarter of them on), less for mean word lengths away from 5."""
+    length = F.length(text)
+    mean = length / F.greatest(size, F.lit(1))
+    clean = F.greatest(F.lit(0.0), 1.0 - 4.0 * F.regexp_count(text, F.lit(ODD)).cast("double") / F.greatest(length, F.lit(1)))
+    return F.coalesce(F.greatest(F.lit(0.25), clean / (1.0 + F.abs(mean - 5.0) / 10.0)), F.lit(0.25))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -72,16 +80,20 @@ def _bin(key: Column, bins: int) -> Column:
     return F.least(F.floor(key * bins), F.lit(bins - 1)).cast("int")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: int = BINS, weight: Column | None = None) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken.
+MIXED = ("size", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: int = BINS, weight: Column | None = None, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """docs (doc_id, text, source) -> the columns in keep and size, source_size, target, taken.
 
-    weight: the quality weight of a row, an expression over docs' text and the column size.
+    weight: the quality weight of a row, an expression over docs' text and the column size. Of the columns to keep
+    those with a name of MIXED are replaced.
     """
-    text = F.col("text")
-    sized = docs.select("doc_id", "source", "text").withColumn("size", word_count(text))
+    text, kept = F.col("text"), [c for c in keep if c not in MIXED]
+    sized = docs.select("doc_id", "source", "text", F.struct(*kept).alias("__keep")).withColumn("size", word_count(text))
     q = quality_weight(text, F.col("size")) if weight is None else weight
     key = -F.log(uniform(F.col("doc_id"))) / q
-    rows = materialise(sized.select("doc_id", "source", "size", (key / (key + 1.0)).alias("rank_key")), "mix-rows")
+    rows = materialise(sized.select("doc_id", "source", "size", (key / (key + 1.0)).alias("rank_key"), "__keep"), "mix-rows")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     # One row a source: written out so that what follows plans with their true size.
     budgets = materialise(per_source.select(
@@ -120,7 +132,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: in
     run = Window.partitionBy("source").orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where("at").withColumn("extra", F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - F.col("before2") - F.coalesce(F.sum("size").over(run), F.lit(0)))))
     out = placed.where(~F.col("at")).unionByName(edge)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return out.select("__keep.*", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +148,8 @@ WITH d AS (
 k0 AS (
   SELECT doc_id, source, size,
          -ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
-         / coalesce(greatest(0.25, 1.0 / (1.0 + abs(CAST(length(text) AS DOUBLE) / greatest(size, 1) - 5.0) / 10.0)), 0.25) AS k
+         / coalesce(greatest(0.25, greatest(0.0, 1.0 - 4.0 * CAST(len(regexp_extract_all(text, '[^\\p{L}\\p{M}\\x20\\x09-\\x0D.,;:!?''"()-]')) AS DOUBLE) / greatest(length(text), 1))
+                                 / (1.0 + abs(CAST(length(text) AS DOUBLE) / greatest(size, 1) - 5.0) / 10.0)), 0.25) AS k
   FROM d),
 k AS (SELECT doc_id, source, size, k / (k + 1.0) AS k FROM k0),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 
 from tessella.llm import op6_mixing as m
@@ -68,3 +69,22 @@ def test_quality_decides_what_is_taken(spark):
 
 def test_no_rows(spark):
     assert m.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_against_its_sql(spark, tmp_path):
+    """The whole mix, with odd signs, marks and letters beyond ASCII in the quality weight, against DuckDB."""
+    rng = random.Random(6)
+    bits = ["wörter", "été", "###", "a", "é", "日本", "$$", "don't", "(x)", "12", "\t"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(30))), rng.choice(["a", "b", "c", None])) for i in range(400)] + [(400, None, "a"), (401, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(m.ORACLE)
+    got = m.op6_mixing(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_columns_that_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 9, "x"), (2, None, "s", 8, "y")], "doc_id long, text string, source string, size int, rank_key string")
+    out = m.mix(docs, keep=tuple(docs.columns)).collect()
+    assert {(r.doc_id, r.text, r.source, r.size, r.rank_key, r.taken) for r in out} == {(1, "a b", "s", 2, "x", 2), (2, None, "s", 0, "y", 0)}
