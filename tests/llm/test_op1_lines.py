@@ -7,13 +7,20 @@ import numpy as np
 from tessella.llm import op1_lines as m
 
 
+def pattern(line):
+    """Words of a line with its variable fields as wildcards; short lines, and those of fields alone, stay as they are."""
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+    fields = [re.search("[0-9@]", w) is not None for w in words]
+    whole = len(words) < m.DEPTH or len(words) < 2 * m.DEPTH and all(fields)
+    return tuple("<*>" if f and not whole else w for w, f in zip(words, fields))
+
+
 def brute(rows, min_docs):
-    """The rule in plain Python, on words instead of hashes."""
+    """The rule in plain Python, on words instead of hashes, every template against every group of its leaf; text by (id, text)."""
     lines = []
-    for doc, text in sorted({(d, t) for d, t in rows}, key=str):
-        for no, line in enumerate((text or "").split("\n")):
-            words = tuple("<*>" if re.search("[0-9@]", w) else w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(words) >= m.MIN_TOKENS:
+    for doc, text in sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is not None, x)):
+        for no, line in enumerate(text.split("\n")):
+            if words := pattern(line):
                 lines.append((doc, text, no, words))
     leaves = defaultdict(Counter)
     for *_, w in lines:
@@ -22,33 +29,27 @@ def brute(rows, min_docs):
     for leaf, templates in leaves.items():
         made = []
         for words, _ in sorted(templates.items(), key=lambda x: (-x[1], x[0])):
-            n = len(words)
             hit = None
             for g in made:
-                share = sum(a == b and f for a, b, f in zip(g["first"], words, g["fixed"])) / n
+                share = sum(a == b and f for a, b, f in zip(g["first"], words, g["fixed"])) / len(words)
                 if share >= m.SIMILARITY and (hit is None or share > hit[0]):
                     hit = (share, g)
             if hit is None:
-                hit = (1, {"first": words, "fixed": [True] * n})
+                hit = (1, {"first": words, "fixed": [True] * len(words)})
                 made.append(hit[1])
             g = hit[1]
             g["fixed"] = [f and a == b for f, a, b in zip(g["fixed"], g["first"], words)]
             group[words] = (leaf, g["first"])
-    docs = defaultdict(set)
-    for d, t, _, w in lines:
-        docs[group[w]].add((d, t))
+    members = defaultdict(list)
+    for line in lines:
+        members[group[line[3]]].append(line)
     gone = defaultdict(set)
-    for g, owners in docs.items():
-        if len(owners) >= min_docs:
-            seen = False
-            first = min(d for d, _ in owners)
-            for d, t, no, w in lines:
-                if group[w] == g:
-                    if d == first and not seen:
-                        seen = True
-                    else:
-                        gone[d, t].add(no)
-    return {(d, t): "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[d, t]) for d, t in rows}
+    for (leaf, _), own in members.items():
+        if len({x[:2] for x in own}) >= (min(min_docs, m.LONG_DOCS) if leaf[0] >= m.LONG_TOKENS else min_docs):
+            # The first line of the first document stays.
+            for d, t, no, _ in own[1:]:
+                gone[d, t].add(no)
+    return {(d, t or ""): "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[d, t or ""]) for d, t in rows}
 
 
 def corpus():
@@ -61,7 +62,7 @@ def corpus():
         if i % 2:
             lines.insert(rng.randrange(5), stamped.format(i, i * 7))
         if i % 3 == 0:
-            lines += ["All rights reserved under the terms of license agreement", "", "Short line"]
+            lines += ["All rights reserved under the terms of license agreement", "", "Short line", f"Page {i}", f"{i} {i + 1} {i + 2}", " ".join(["Long"] * 60)]
         rows.append((i, "\n".join(lines)))
     return rows
 

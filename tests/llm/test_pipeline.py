@@ -1,6 +1,18 @@
+import itertools
+import re
+from collections import Counter
+
 import corpus_pipeline as p
+import duckdb
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
+from tessella.llm import op1_lines, op6_mixing, op8_quality
+
+from .test_op1_lines import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -53,3 +65,122 @@ def test_mix_is_near_its_targets(stages):
 def test_rerun_agrees(spark, stages):
     again = p.run(spark, SF)
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, stages[-1].collect()), key=str)
+
+
+def edge_rows(labelled):
+    """Rows of every defined case, beside documents that the model knows as good."""
+    good = [(d, t, "en", s, len(t), 1, "x", "y") for d, t, s in labelled]
+    text = good[0][1]
+    odd = [
+        (90_001, None, "en", None, None, None, None, None), (90_002, "", "de", "s1", 0, None, None, None), (None, text + " and its own end", None, "s1", 9, 1, "x", "y"),
+        (90_003, "\n \t\n", "en", "s1", 4, 2, "x", "y"), (90_004, " ".join(f"{w}{i}" for i, w in enumerate((text + " ") .split() * 400)), "en", "s2", 1, 1, "x", "y"),
+        (90_005, good[1][1], "en", "s2", 1, 1, "x", "y"), (90_005, good[1][1], "en", "s2", 1, 1, "x", "y"), (90_006, "one", "en", "s2", 3, 1, "x", "y"),
+    ]
+    return good + odd
+
+
+EDGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, leaf string, sig string"
+
+
+def test_edges_of_every_stage(spark, stages):
+    labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    known = [(r.doc_id, r.text, r.source) for r in stages[0].collect() if r.doc_id in labels and r.text and len(r.text) > 200][:20]
+    docs = spark.createDataFrame(edge_rows(known), EDGE_SCHEMA).repartition(3)
+    count = lambda rows: Counter((r.doc_id, r.text) for r in rows)
+    before = count(docs.collect())
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert out.columns[: len(docs.columns) - 1] == [c for c in docs.columns if name != "mixing" or c != "size"][: len(docs.columns) - 1]
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        got = count(rows)
+        ids = {r.doc_id for r in rows}
+        if name != "line_dedup":
+            assert all(before[k] >= n for k, n in got.items())
+        if name in ("line_dedup", "near_dedup", "decontamination"):
+            assert got[90_001, None] == got[90_002, ""] == got[90_003, "\n \t\n"] == 1 and {90_004, 90_006} <= ids
+            assert all((r.size, r.leaf, r.sig) == (1, "x", "y") for r in rows if r.doc_id == 90_006)
+        if name == "quality":
+            # Equal texts share their fate; the empty ones do too.
+            assert (90_001 in ids) == (90_002 in ids) and got[90_005, known[1][1]] in (0, 2) and {d for d, _, _ in known} <= ids
+        if name == "near_dedup":
+            # Null is the smallest id of its group; of the copies of the second document only that stays.
+            assert None in ids and known[0][0] not in ids and 90_005 not in ids and known[1][0] in ids
+        if name == "mixing":
+            assert not {90_001, 90_002, 90_003} & ids and all(r.taken <= 3 * r.size for r in rows) and all(r.text is not None and r.leaf for r in rows)
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_near(rows, width, percent):
+    """Groups of near copies by all pairs; ids that stay."""
+    sets = {}
+    for d, t in rows:
+        w = plain_words(t)
+        sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and both * 100 >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d for d in sets if find(d) == d or not sets[d]}
+
+
+def plain_leaks(text, items):
+    """Whether an item stands in the text with at most a tenth of its bytes edited, by the whole matrix."""
+    text = np.frombuffer(" ".join((text or "").lower().split(" ")).encode(), np.uint8)
+    text = np.frombuffer(b" ".join(text.tobytes().split()), np.uint8)
+    for item in items:
+        row, ahead = np.zeros(len(text) + 1, int), np.arange(len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (text != c))]
+            row = np.minimum.accumulate(new - ahead) + ahead
+        if row.min() <= len(item) // 10:
+            return True
+    return False
+
+
+def test_run_against_plain_versions(spark, tmp_path):
+    """run() over a small folder of tables, against the scores of single texts, all pairs, whole matrices and DuckDB's mix."""
+    tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels", "benchmark")}
+    items = tables["benchmark"].orderBy("item_id").limit(6).collect()
+    rows = [tuple(r) for r in tables["documents"].orderBy("doc_id").collect() if len(r.text or "") < 2500][:110]
+    columns = tables["documents"].columns
+    at = {c: columns.index(c) for c in columns}
+    more = []
+    for k in range(8):
+        base, extra = rows[3 * k + 1], list(rows[3 * k + 1])
+        extra[at["doc_id"]] = 50_000 + k
+        extra[at["text"]] = base[at["text"]] + (" added word" if k % 2 else "") if k < 5 else base[at["text"]] + "\n" + items[k - 5].text.upper().replace("E", "E", 1)
+        more.append(tuple(extra))
+    spark.createDataFrame(rows + more, tables["documents"].schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    tables["labels"].coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, tables["benchmark"].schema).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = op8_quality.train(docs, tables["labels"])
+    left = {r[at["doc_id"]]: r for r in rows + more}
+    left = {d: r for d, r in left.items() if op8_quality.score_batch(model, pa.array([r[at["text"]]]))[0] >= op8_quality.THRESHOLD}
+    cut = brute([(d, r[at["text"]]) for d, r in left.items()], op1_lines.MIN_DOCS)
+    text = {d: cut[d, r[at["text"]] or ""] for d, r in left.items()}
+    text = {d: t for d, t in text.items() if plain_words(t) or not plain_words(left[d][at["text"]])}
+    text = {d: text[d] for d in plain_near(text.items(), 5, 80)}
+    plain_items = [b" ".join(i.text.lower().encode().split()) for i in items]
+    text = {d: t for d, t in text.items() if not plain_leaks(t, plain_items)}
+    want = pd.DataFrame([(d, t, left[d][at["source"]]) for d, t in text.items()], columns=["doc_id", "text", "source"])
+    con = duckdb.connect()
+    con.register("documents", want)
+    mixed = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({op6_mixing.ORACLE})").fetchall() if r[4] > 0}
+    got = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in got} == mixed and len(got) == len(mixed) > 20
+    assert {r.doc_id: r.text for r in got} == {d: t for d, t in text.items() if d in mixed}
+    assert len(left) < len(rows + more) and len(text) < len(left)
