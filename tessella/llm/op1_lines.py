@@ -148,18 +148,19 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     source = docs.select(*row_key(), "text")
     enough = F.when(F.col("long"), min(min_docs, LONG_DOCS)).otherwise(min_docs)
     leaves = _lines(source, False).groupBy("leaf", "long").count().where(F.col("count") >= enough).select("leaf")
-    # Written out, as the groups below, so that a leaf with very many lines is a skewed side of a plain join, which adaptive execution splits.
-    leaves = materialise(leaves.distinct(), "leaves")
+    # Written out, as the groups below, so that a leaf with very many lines is a skewed side of a plain join, which adaptive
+    # execution splits. The joins are merges at every size: these tables grow with the documents.
+    leaves = materialise(leaves.distinct(), "leaves").hint("merge")
     lines = materialise(_lines(source, True).join(leaves, "leaf", "left_semi"), "lines")
     templates = lines.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
     groups = templates.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "template").mapInArrow(_grow, "leaf long, template long, grp long")
-    groups = materialise(groups, "template-groups")
+    groups = materialise(groups, "template-groups").hint("merge")
     placed = lines.select("leaf", "long", "template", "k1", "k2", "line").join(groups, ["leaf", "template"])
     per_doc = placed.groupBy("leaf", "long", "grp", "k1", "k2").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     per_doc = materialise(per_doc, "line-groups")
     often = per_doc.groupBy("leaf", "long", "grp").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("k1", "k2")).alias("owner")).where(F.col("n_docs") >= enough).drop("long")
     own = (F.col("owner.k1") == F.col("k1")) & (F.col("owner.k2") == F.col("k2"))
-    often = materialise(often, "recurring")
+    often = materialise(often, "recurring").hint("merge")
     hit = per_doc.join(often, ["leaf", "grp"]).select("k1", "k2", F.when(own, F.slice("lines", F.lit(2), F.size("lines"))).otherwise(F.col("lines")).alias("lines"))
     return hit.where(F.size("lines") > 0).groupBy("k1", "k2").agg(F.flatten(F.collect_list("lines")).alias("drop"), F.count(F.lit(1)).alias("n_templates"))
 
