@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import materialise
 
 
 @dataclass(frozen=True)
@@ -86,11 +87,15 @@ def single_parent(changes: DataFrame, drop_merges: bool = False) -> DataFrame:
 
 
 def with_tokens(df: DataFrame, content: str, count=T.token_count, name: str = "input_tokens") -> DataFrame:
-    """df and the token count of a content column; each distinct content is counted once."""
-    digest = T.content_hash(F.coalesce(content, F.lit("")))
-    keyed = df.withColumn("__h", digest)
+    """df and the token count of a content column; each distinct content is counted once.
+
+    Null and empty contents have no tokens and are not joined, so that they do not meet under one key.
+    """
+    blank = F.coalesce(content, F.lit("")) == ""
+    keyed = df.where(~blank).withColumn("__h", T.content_hash(F.col(content)))
     counted = keyed.select("__h", content).dropDuplicates(["__h"]).select("__h", count(F.col(content)).cast("int").alias(name))
-    return keyed.join(counted, "__h").drop("__h")
+    full = keyed.join(counted, "__h").drop("__h")
+    return full.unionByName(df.where(blank).withColumn(name, F.lit(0)))
 
 
 def token_limit(df: DataFrame, content: str, limit: int, count=T.token_count) -> DataFrame:
@@ -113,23 +118,29 @@ def latest(df: DataFrame, n: int, *keys: str) -> DataFrame:
 
 
 def oldest_tail(df: DataFrame, ratio: float, *keys: str) -> DataFrame:
-    """The oldest int(rows * (1 + ratio)) rows by the keys, for a ratio from -1 to 0."""
-    return df.orderBy(*[F.asc(k) for k in keys]).limit(int(df.count() * (1 + ratio)))
+    """The oldest int(rows * (1 + ratio)) rows by the keys, for a ratio from -1 to 0; rows equal in all keys may fall either way.
+
+    Rows are numbered by a range-partitioned sort, so that no task holds more than a range.
+    """
+    numbered = reindex(df, *keys, name="__index", descending=False)
+    total = numbered.agg(F.count(F.lit(1)).alias("__total"))
+    return numbered.join(F.broadcast(total)).where(F.col("__index") < F.floor(F.col("__total") * (1 + ratio))).drop("__index", "__total")
 
 
-def reindex(df: DataFrame, *keys: str, name: str = "index") -> DataFrame:
-    """Rows numbered from 0 by descending keys.
+def reindex(df: DataFrame, *keys: str, name: str = "index", descending: bool = True) -> DataFrame:
+    """Rows numbered from 0 by the keys, descending or ascending; a column of that name is replaced.
 
-    A range-partitioned sort with per-partition counts keeps the numbering distributed; a global
-    window would gather all rows in one task.
+    A range-partitioned sort with counts of each range keeps the numbering distributed; a global window would gather all
+    rows in one task. The ranges are written out before they are counted: a second evaluation could draw them otherwise.
     """
     spark = df.sparkSession
-    order = [F.desc(k) for k in keys]
+    order = [(F.desc if descending else F.asc)(k) for k in keys]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    numbered = placed.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    placed = materialise(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # One row for each range: the window over them is small.
     starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    numbered = placed.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     return numbered.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__at") - 1).drop("__part", "__at", "__before")
 
 
@@ -147,12 +158,32 @@ def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
     return counts.select("bin", (F.col("lo") + step * (F.col("bin") - 1)).alias("low"), (F.col("lo") + step * F.col("bin")).alias("high"), "n")
 
 
-def upper_median(df: DataFrame, value: Column) -> DataFrame:
-    """median (of the sorted values that at n div 2), mean, n. Equal values are counted first, so the
-    running sum is over distinct values."""
-    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return run.agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("v"))).alias("median"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+def upper_median(df: DataFrame, value: Column, bins: int = 1024) -> DataFrame:
+    """median (of the sorted values that at n div 2), mean, n; nulls are left out.
+
+    Values are counted in equal bins over their range, then in bins within the one that holds the middle; only the
+    distinct values of that last bin are put in order, so no task orders all of them.
+    """
+    v = df.select(value.alias("v")).where("v is not null")
+    x = F.col("v").cast("double")
+    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+    def within(lo: Column, hi: Column) -> Column:
+        return F.when(lo == hi, F.lit(1)).otherwise(F.least(F.greatest(F.floor((x - lo) / (hi - lo) * bins) + 1, F.lit(1)), F.lit(bins))).cast("int")
+
+    run = Window.orderBy("bin")
+    ends = v.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("all"), F.avg(F.lit(0.0)).alias("before"))
+    for _ in range(2):
+        # At most ``bins`` rows reach the window.
+        held = counts.join(F.broadcast(ends)).where((x >= F.col("lo")) & (x <= F.col("hi"))).withColumn("bin", within(F.col("lo"), F.col("hi")))
+        held = held.groupBy("bin").agg(F.sum("n").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.max("all").alias("all"), F.max("before").alias("before"))
+        upto = held.withColumn("upto", F.col("before") + F.sum("n").over(run))
+        middle = upto.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min_by(F.struct("lo", "hi", "all", (F.col("upto") - F.col("n")).alias("before")), "bin").alias("m"))
+        ends = middle.select("m.*")
+    last = counts.join(F.broadcast(ends)).where((x >= F.col("lo")) & (x <= F.col("hi"))).withColumn("upto", F.col("before") + F.sum("n").over(Window.orderBy("v")))
+    median = last.agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("v"))).alias("median"))
+    total = counts.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return median.join(total)
 
 
 def unit_histogram(df: DataFrame, value: Column) -> DataFrame:

@@ -26,11 +26,13 @@ def max_k(n: Column, ratio: float) -> Column:
 def pass_at_k(tasks: DataFrame, total: int | None = None, ratio: float = 0.8, config: list[str] = CONFIG, n: str = "n_responses", c: str = "c") -> DataFrame:
     """One row per configuration and k = 1..max(1, n * ratio): k, pass_at_k.
 
-    Tasks without a candidate count as 0: the mean is over max(total, tasks seen).
+    Tasks without a candidate count as 0: the mean is over max(total, tasks seen). Tasks alike in n and c are counted
+    before any k is made, so rows grow with the distinct (n, c), not with tasks.
     """
-    each = tasks.withColumn("k", F.explode(F.sequence(F.lit(1), max_k(F.col(n), ratio)))).withColumn("p", T.pass_at_k(F.col(n), F.col(c), F.col("k")))
-    denominator = F.greatest(F.lit(total or 0), F.count(F.lit(1)))
-    return each.groupBy(*config, "k").agg((F.sum("p") / denominator).alias("pass_at_k"))
+    alike = tasks.groupBy(*dict.fromkeys([*config, n, c])).agg(F.count(F.lit(1)).alias("__tasks"))
+    each = alike.withColumn("k", F.explode(F.sequence(F.lit(1), max_k(F.col(n), ratio)))).withColumn("p", T.pass_at_k(F.col(n), F.col(c), F.col("k")))
+    denominator = F.greatest(F.lit(total or 0), F.sum("__tasks"))
+    return each.groupBy(*config, "k").agg((F.sum(F.col("p") * F.col("__tasks")) / denominator).alias("pass_at_k"))
 
 
 def single_k(tasks: DataFrame, total: int | None = None, ratio: float = 0.8, config: list[str] = CONFIG, n: str = "n_responses", c: str = "c") -> DataFrame:
@@ -74,3 +76,8 @@ def markdown(metrics: DataFrame, percent: bool = False) -> str:
     for r in rows:
         out.append(f"| {r.model} | {r.temperature} | {r.n_responses} | {r.k} | {r.pass_at_k:.2%} |" if percent else f"| {r.model} | {r.temperature} | {r.n_responses} | {r.k} | {r.pass_at_k:.4f} |")
     return "\n".join(out)
+
+
+def save_json(metrics: DataFrame, path: str) -> None:
+    """The metrics of each model as one line of JSON, nested as ``nested`` makes them."""
+    nested(metrics).coalesce(1).write.mode("overwrite").json(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs as U
+from ..staging import materialise
 
 
 def exercises_of(rows: DataFrame) -> DataFrame:
@@ -116,8 +117,8 @@ def merge_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], code:
     ``result`` is an expression over verdicts.
     """
     built = verdicts.groupBy(*keys, code).agg(F.max_by(result, order).alias("__verdict"))
-    # The row number ties the exploded responses of a row together again; ids of equal rows must differ.
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    # The row number ties the exploded responses of a row together again; written out, it is the same in both branches.
+    numbered = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
     each = numbered.select("__row", *keys, F.posexplode("responses").alias("__pos", "__r"))
     joined = each.join(built.withColumnRenamed(code, "__code"), [*[each[k].eqNullSafe(built[k]) for k in keys], F.col(f"__r.{code}") == F.col("__code")], "left").select("__row", "__pos", "__r", "__verdict")
     filled = F.when(F.col("__r").isNotNull(), F.col("__r").withField("verification_result", F.coalesce("__verdict", missing)))
@@ -135,7 +136,7 @@ def metadata_from_name(path: Column) -> Column:
     """struct<ts, input, model, temperature> from ``ts__input__model__temp.ext``; null if there are fewer parts."""
     name = F.element_at(F.split(path, "/"), -1)
     parts = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "__")
-    made = F.struct(F.get(parts, F.lit(0)).alias("ts"), F.get(parts, F.lit(1)).alias("input"), F.get(parts, F.lit(2)).alias("model"), F.try_to_number(F.get(parts, F.lit(3)), F.lit("9.99")).cast("double").alias("temperature"))
+    made = F.struct(F.get(parts, F.lit(0)).alias("ts"), F.get(parts, F.lit(1)).alias("input"), F.get(parts, F.lit(2)).alias("model"), F.get(parts, F.lit(3)).try_cast("double").alias("temperature"))
     return F.when(F.size(parts) >= 4, made)
 
 

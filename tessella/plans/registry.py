@@ -77,23 +77,25 @@ def passk_single_k(read):
     return _rounded(M.single_k(_tasks(read), ratio=0.8, config=["model", "n"], n="n"))
 
 
-@query(f"""WITH {_TASKS}, m AS (SELECT model, 0.5 AS temperature, CAST(n AS INTEGER) AS n_responses, CAST(k AS INTEGER) AS k, avg(p) AS v FROM p WHERE n <= 4 AND model <> '1-URGENT' GROUP BY ALL),
-g AS (SELECT DISTINCT o_orderpriority AS model, 0.5 AS temperature, 6 AS n_responses, CAST(unnest(generate_series(1, 4)) AS INTEGER) AS k FROM orders)
-SELECT coalesce(m.model, g.model) AS model, CAST(0.5 AS DOUBLE) AS temperature, coalesce(m.n_responses, g.n_responses) AS n_responses, coalesce(m.k, g.k) AS k, round(coalesce(v, 0.0), 9) AS pass_at_k
-FROM m FULL OUTER JOIN g ON m.model = g.model AND m.n_responses = g.n_responses AND m.k = g.k""")
+@query(f"""WITH {_TASKS}, m AS (SELECT model, 0.5 AS temperature, CAST(n AS INTEGER) AS n_responses, CAST(k AS INTEGER) AS k, avg(p) AS v FROM p GROUP BY ALL),
+g AS (SELECT DISTINCT o_orderpriority AS model, 0.5 AS temperature, CAST(unnest([6, 20]) AS INTEGER) AS n_responses FROM orders UNION SELECT 'absent', 0.5, 6),
+k AS (SELECT *, CAST(unnest(generate_series(1, CAST(floor(n_responses * 0.7) AS BIGINT))) AS INTEGER) AS k FROM g)
+SELECT coalesce(m.model, k.model) AS model, CAST(0.5 AS DOUBLE) AS temperature, coalesce(m.n_responses, k.n_responses) AS n_responses, coalesce(m.k, k.k) AS k, round(coalesce(v, 0.0), 9) AS pass_at_k
+FROM m FULL OUTER JOIN k ON m.model = k.model AND m.n_responses = k.n_responses AND m.k = k.k""")
 def metrics_grid(read):
-    """Configured grid joined with what was found: 0 where nothing was, unconfigured rows stay."""
-    tasks = _tasks(read).where("n <= 4 and model <> '1-URGENT'").select("model", F.lit(0.5).alias("temperature"), F.col("n").cast("int").alias("n_responses"), "c")
-    configured = read("orders").select(F.col("o_orderpriority").alias("model"), F.lit(0.5).alias("temperature"), F.lit(6).cast("int").alias("n_responses")).distinct()
+    """Configured grid joined with what was found: 0 where nothing was (20 samples, a model without any), unconfigured rows stay."""
+    tasks = _tasks(read).select("model", F.lit(0.5).alias("temperature"), F.col("n").cast("int").alias("n_responses"), "c")
+    configured = read("orders").select(F.col("o_orderpriority").alias("model"), F.lit(0.5).alias("temperature"), F.explode(F.array(F.lit(6), F.lit(20))).alias("n_responses")).distinct()
+    configured = configured.unionByName(read("region").limit(1).select(F.lit("absent").alias("model"), F.lit(0.5).alias("temperature"), F.lit(6).alias("n_responses")))
     return _rounded(M.complete_grid(M.pass_at_k(tasks, ratio=0.8), configured, 0.7))
 
 
-@query(f"WITH {_TASKS}, m AS (SELECT model, CAST(n AS BIGINT) AS n, k, avg(p) AS v FROM p WHERE n = 5 GROUP BY ALL) SELECT model, string_agg(k || '=' || printf('%.6f', v), ' ' ORDER BY k) AS points FROM m GROUP BY model")
+@query(f"WITH {_TASKS}, m AS (SELECT model, CAST(n AS BIGINT) AS n, k, avg(p) AS v FROM p GROUP BY ALL) SELECT model, CAST(n AS INTEGER) AS n_responses, string_agg(k || '=' || round(v, 6), ' ' ORDER BY k) AS points FROM m GROUP BY model, n")
 def metric_series(read):
     """Points of each curve by ascending k."""
-    tasks = _tasks(read).where("n = 5").select("model", F.lit(0.5).alias("temperature"), F.col("n").cast("int").alias("n_responses"), "c")
+    tasks = _tasks(read).select("model", F.lit(0.5).alias("temperature"), F.col("n").cast("int").alias("n_responses"), "c")
     found = M.series(M.pass_at_k(tasks, ratio=0.8))
-    return found.select("model", F.array_join(F.transform("points", lambda p: F.concat(p["k"].cast("string"), F.lit("="), F.format_string("%.6f", p["value"]))), " ").alias("points"))
+    return found.select("model", "n_responses", F.array_join(F.transform("points", lambda p: F.concat(p["k"].cast("string"), F.lit("="), F.round(p["value"], 6).cast("string"))), " ").alias("points"))
 
 
 @query("SELECT DISTINCT r_name AS model FROM region UNION SELECT DISTINCT n_name FROM nation")
@@ -382,17 +384,24 @@ def json_extract(read):
     return read("events").select("event_id", F.try_element_at(T.parse_judgement(answer)["TaskEvaluations"], F.lit("k")).alias("grade"))
 
 
-@query(r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') END AS diff FROM conversations WHERE NOT contains(text, '```')")
+#: Answers around every text, some with fences, back-quotes and line marks of their own, some without an end or any fence.
+_ANSWER = """CASE turn % 6 WHEN 0 THEN 'see' || chr(10) || '```diff' || chr(10) || text || chr(10) || '```' || chr(10) || 'and ```diff x ```'
+  WHEN 1 THEN 'so' || chr(10) || '```lean' || chr(10) || 'line 12 ' || text || chr(10) || 'by `simp` line 3 x' || chr(10) || '```'
+  WHEN 2 THEN '```diff' || text || '` `` ```` end' || chr(10) || '```' WHEN 3 THEN 'open ```lean' || chr(10) || text || chr(10) || 'last'
+  WHEN 4 THEN '```a' || chr(10) || 'x' || chr(10) || '```' || text || '```diff' || chr(10) || chr(9) || 'y  ' || chr(10) || '```' ELSE text END"""
+_STRIP = r"'^\s+|\s+$', '', 'g'"
+
+
+@query(f"WITH a AS (SELECT conv_id, turn, {_ANSWER} AS a FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(a, '(?s)```diff.*?```') THEN regexp_replace(regexp_extract(a, '(?s)```diff(.*?)```', 1), {_STRIP}) END AS diff FROM a")
 def fence_extract(read):
-    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("see\n```diff\n"), F.col("text"), F.lit("\n```\nand ```diff x ```"))).otherwise(F.lit("none"))
-    return read("conversations").where(~F.col("text").contains("```")).select("conv_id", "turn", T.fenced_diff(answer).alias("diff"))
+    return read("conversations").select("conv_id", "turn", T.fenced_diff(F.expr(_ANSWER.replace("chr(10)", "'\\n'").replace("chr(9)", "'\\t'"))).alias("diff"))
 
 
-@query("SELECT conv_id, turn, text AS code FROM conversations WHERE NOT contains(text, '`') AND NOT regexp_matches(text, 'line [0-9]* ')")
+@query(f"""WITH a AS (SELECT conv_id, turn, {_ANSWER} AS a FROM conversations),
+b AS (SELECT conv_id, turn, regexp_replace(CASE WHEN regexp_matches(a, '(?s)```.*```') THEN regexp_extract(a, '(?s)```.*```') WHEN contains(a, '```') THEN regexp_extract(a, '(?s)```.*') ELSE a END, {_STRIP}) AS b FROM a)
+SELECT conv_id, turn, regexp_replace(coalesce(array_to_string(list_slice(string_split(b, chr(10)), 2, len(string_split(b, chr(10))) - 1), chr(10)), ''), 'line [0-9]* ', '', 'g') AS code FROM b""")
 def fenced_code(read):
-    answer = F.concat(F.lit("so\n```lean\nline 12 "), F.col("text"), F.lit("\n```"))
-    rows = read("conversations").where(~F.col("text").contains("`") & ~F.col("text").rlike("line [0-9]* "))
-    return rows.select("conv_id", "turn", T.fenced_code(answer).alias("code"))
+    return read("conversations").select("conv_id", "turn", T.fenced_code(F.expr(_ANSWER.replace("chr(10)", "'\\n'").replace("chr(9)", "'\\t'"))).alias("code"))
 
 
 @query("SELECT page_id FROM pages WHERE NOT (page_id % 3 = 0)")
@@ -417,10 +426,10 @@ def first_exercises(read):
     return R.exercises_of(rows).select("conv_id", F.col("exercises").alias("turn"))
 
 
-@query("SELECT conv_id, turn, role || '-x' AS model, CAST(turn / 10.0 AS DOUBLE) AS temperature FROM conversations WHERE turn < 10")
+@query("SELECT conv_id, turn, role || '-x' AS model, CAST('0.' || turn AS DOUBLE) AS temperature FROM conversations")
 def file_name_metadata(read):
     path = F.concat(F.lit("/out/2024__in__"), F.col("role"), F.lit("-x__0."), F.col("turn").cast("string"), F.lit(".jsonl"))
-    rows = read("conversations").where("turn < 10").select("conv_id", "turn", R.metadata_from_name(path).alias("m"))
+    rows = read("conversations").select("conv_id", "turn", R.metadata_from_name(path).alias("m"))
     return rows.select("conv_id", "turn", "m.model", "m.temperature")
 
 
