@@ -102,7 +102,10 @@ def find_anchors(base: list[Line], original: list[str], start: int, share: float
 
 
 def rebuild(hunk: Hunk, region: list[str]) -> list[Line]:
-    """The hunk's lines over the text that stands in the region; insertions stay behind their base line."""
+    """The hunk's lines over the text that stands in the region; insertions stay behind their base line.
+
+    An insertion that a blank base line set apart, which the region lacks, is set apart by a blank line again.
+    """
     base: list[Line] = []
     extra: dict[int, list[str]] = {}
     for sign, text in hunk.lines:
@@ -119,8 +122,11 @@ def rebuild(hunk: Hunk, region: list[str]) -> list[Line]:
             if j < j2:
                 sign = base[i][0] if i < i2 else " "
                 out.append((sign, region[j]))
-            if i < i2:
-                out += [("+", t) for t in extra.get(i, [])]
+            if i < i2 and i in extra:
+                first = extra[i][0]
+                if first.strip() and not base[i][1].strip() and out and out[-1][0] != "-" and out[-1][1].strip():
+                    out.append(("+", ""))
+                out += [("+", t) for t in extra[i]]
     return out
 
 

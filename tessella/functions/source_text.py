@@ -79,26 +79,64 @@ def apply_hunk(lines: list[str], hunk: dict, shift: int) -> list[str] | None:
     return lines[:at] + new + lines[at + len(old) :]
 
 
-def apply_diff(text: str, diff: str) -> str | None:
+_BLANKS = re.compile(r"[ \t]+")
+MAX_FUZZ = 2
+
+
+def _loose(line: str) -> str:
+    """A line with each run of blanks as one and none at its end."""
+    return _BLANKS.sub(" ", line.rstrip(" \t\r"))
+
+
+def _place(lines: list[str], old: list[str], said: int) -> int | None:
+    """Nearest place to ``said`` where the lines stand."""
+    last = len(lines) - len(old)
+    if last < 0:
+        return None
+    said = min(max(said, 0), last)
+    for d in range(max(said, last - said) + 1):
+        for at in (said + d, said - d) if d else (said,):
+            if 0 <= at <= last and lines[at : at + len(old)] == old:
+                return at
+    return None
+
+
+def apply_diff(text: str, diff: str, max_fuzz: int = MAX_FUZZ) -> str | None:
     """text after a unified diff, None if it does not apply; of an empty text the added lines.
 
-    A hunk that does not stand where its header says goes to the nearest place of the whole text where it does.
+    Runs of blanks match one another and count for nothing at the end of a line. A hunk that does not stand where its
+    header says goes to the nearest place of the whole text where it does; where there is none, up to max_fuzz context
+    lines at its ends are left out. Context lines stay as the text has them.
     """
     if not text:
         return "\n".join(l[1:] for l in diff.split("\n") if l.startswith("+") and not l.startswith("+++"))
     lines, shift = text.split("\n"), 0
+    loose = [_loose(l) for l in lines]
     for hunk in parse_hunks(diff):
-        slack, done = 0, apply_hunk(lines, hunk, shift)
-        if done is None:
-            said = hunk["start"] + shift - (1 if hunk["count"] else 0)
-            for slack in sorted((at - said for at in range(len(lines) + 1)), key=lambda d: (abs(d), d < 0)):
-                done = apply_hunk(lines, hunk, shift + slack)
-                if done is not None:
-                    break
-            else:
-                return None
-        shift += slack + len(done) - len(lines)
-        lines = done
+        body = [(l[:1] or " ", l[1:]) for l in hunk["lines"] if l[:1] in (" ", "-", "+", "")]
+        head = next((i for i, (s, _) in enumerate(body) if s != " "), len(body))
+        tail = next((i for i, (s, _) in enumerate(reversed(body)) if s != " "), 0)
+        said = hunk["start"] + shift - (1 if hunk["count"] else 0)
+        for fuzz in range(max_fuzz + 1):
+            before, after = (min(n, max(0, fuzz + n - max(head, tail))) for n in (head, tail))
+            if fuzz and not before and not after:
+                continue
+            part = body[before : len(body) - after]
+            at = _place(loose, [_loose(t) for s, t in part if s != "+"], said + before)
+            if at is not None:
+                break
+        else:
+            return None
+        new, here = [], at
+        for sign, line in part:
+            if sign == " ":
+                new.append(lines[here])
+            elif sign == "+":
+                new.append(line)
+            here += sign != "+"
+        shift += at - (said + before) + len(new) - (here - at)
+        lines[at:here] = new
+        loose[at:here] = [_loose(l) for l in new]
     return "\n".join(lines)
 
 

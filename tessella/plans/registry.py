@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,6 +13,7 @@ from ..operators import mining as N
 from ..operators import responses as R
 from ..operators import runner as X
 from ..operators import store as S
+from .lean_files import DEFINED, FILES, files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -530,48 +531,69 @@ def normal_lines(read):
     return read("supplier").select("s_suppkey", T.normal_line(F.concat(F.lit(" ·\t"), F.col("s_name"), F.lit("· \n"))).alias("line"))
 
 
-# ---- sequential algorithms (no SQL: tested against plain loops) ---------------------------------
+# ---- sequential algorithms, over source files made of whole texts, against what their lines must give ---------------
 
 
 def _lean(read) -> DataFrame:
-    """A source file before and after an edit, made of each document's text."""
-    line = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
-    before = F.concat(F.lit("import A\n\n/- doc /- nested -/ -/\ntheorem t"), F.col("doc_id"), F.lit(" : True := by\n  trivial -- "), line, F.lit("\n\ndef f (x : Nat) := x\n"))
-    after = F.concat(F.lit("import A\n\n/- doc -/\ntheorem t"), F.col("doc_id"), F.lit(" : True := by\n  exact trivial\n\ndef f (x : Nat) := x + 1\n\nlemma g : 1 = 1 := rfl\n"))
-    return read("documents").select("doc_id", before.alias("before"), after.alias("after"))
+    return files(read("documents"))
 
 
-@query()
+def _diffed(read) -> DataFrame:
+    return _lean(read).withColumn("diff", U.unified_diff(F.col("before"), F.col("after")))
+
+
+def _broken(diff) -> Column:
+    """A diff with wrong numbers and altered context."""
+    return F.regexp_replace(F.regexp_replace(diff, r"@@ -\d+,\d+ \+\d+,\d+ @@", "@@ -1,1 +1,1 @@"), "(?m)^ theorem", " THEOREM")
+
+
+@query(f"WITH {FILES} SELECT doc_id, sha256(code) AS code FROM files")
 def comment_strip(read):
-    return _lean(read).select("doc_id", U.strip_comments(F.col("before")).alias("code"))
+    return _lean(read).select("doc_id", T.content_hash(U.strip_comments(F.col("before"))).alias("code"))
 
 
-@query()
+@query(f"""WITH {FILES} SELECT doc_id, CAST(replaced + 1 AS INTEGER) AS added, CAST(2 * replaced + removed + 1 AS INTEGER) AS total,
+CAST(replaced + removed + 1 - CAST(last AS INTEGER) AS INTEGER) AS pure, CAST(1 - removed AS INTEGER) AS net FROM edits""")
 def filtered_diff(read):
-    return _lean(read).select("doc_id", U.filtered_diff(F.col("before"), F.col("after")).alias("d")).select("doc_id", "d.*")
+    return _lean(read).select("doc_id", U.filtered_diff(F.col("before"), F.col("after")).alias("d")).select("doc_id", "d.added", "d.total", "d.pure", "d.net")
 
 
-@query()
+@query(f"WITH {FILES} SELECT doc_id, sha256(after) AS after FROM files")
 def diff_round_trip(read):
     """Unified diffs applied to their old side give the new side."""
-    d = _lean(read).withColumn("diff", U.unified_diff(F.col("before"), F.col("after")))
-    return d.select("doc_id", "diff", (U.apply_diff(F.col("before"), F.col("diff")) == F.regexp_replace("after", "\n$", "\n")).alias("same"))
+    return _diffed(read).select("doc_id", T.content_hash(U.apply_diff(F.col("before"), F.col("diff"))).alias("after"))
 
 
-@query()
+@query(f"WITH {FILES} SELECT doc_id, sha256(after) AS after FROM files")
+def moved_diffs(read):
+    """Diffs whose context differs in white space, applied to a text that has grown by 300 lines in front of it."""
+    front = F.repeat(F.lit("-- before\n"), 300)
+    loose = F.regexp_replace("diff", "(?m)^ theorem ", " theorem   ")
+    done = U.apply_diff(F.concat(front, F.col("before")), loose)
+    return _diffed(read).select("doc_id", T.content_hash(F.substr(done, F.length(front) + 1)).alias("after"))
+
+
+#: Repair may move or double the blank lines around an insertion, so these are left out of the comparison.
+_DENSE = "sha256(regexp_replace(after, '\\n+', chr(10), 'g'))"
+
+
+def _dense(content) -> Column:
+    return T.content_hash(F.regexp_replace(content, "\n+", "\n"))
+
+
+@query(f"WITH {FILES} SELECT doc_id, {_DENSE} AS after FROM files")
 def diff_repair(read):
-    """Diffs with wrong numbers and altered context, repaired."""
-    d = _lean(read).withColumn("diff", U.unified_diff(F.col("before"), F.col("after")))
-    broken = F.regexp_replace(F.regexp_replace("diff", r"@@ -\d+,\d+ \+\d+,\d+ @@", "@@ -1,1 +1,1 @@"), "(?m)^ import A", " IMPORT a ")
-    return d.select("doc_id", U.repair_diff(F.col("before"), broken).alias("r")).select("doc_id", "r.*")
+    """Diffs with wrong numbers and altered context, repaired and applied."""
+    d = _diffed(read).select("doc_id", "before", U.repair_diff(F.col("before"), _broken(F.col("diff")))["patch"].alias("patch"))
+    return d.select("doc_id", _dense(U.apply_diff(F.col("before"), F.col("patch"))).alias("after"))
 
 
-@query()
+@query("SELECT lang AS model, count(*) AS total, count_if(doc_id % 3 <> 0) AS success, count_if(doc_id % 3 = 0) AS failure, CAST(count_if(doc_id % 3 <> 0) AS DOUBLE) / count(*) AS rate FROM documents GROUP BY lang")
 def repair_stats(read):
     """Share of patches that could be repaired, by language as model; every third is about another file."""
-    d = _lean(read).join(read("documents").select("doc_id", F.col("lang").alias("model")), "doc_id").withColumn("diff", U.unified_diff(F.col("before"), F.col("after")))
-    rows = d.select("model", F.col("before").alias("content_before"), F.when(F.col("doc_id") % 3 == 0, "@@ -1,1 +1,1 @@\n-wholly other words stand here\n+x").otherwise(F.col("diff")).alias("gen_patch"))
-    return R.repair_stats(R.repaired(rows))
+    other = "@@ -1,1 +1,1 @@\n-wholly other words stand here\n+x"
+    rows = _diffed(read).select(F.col("lang").alias("model"), F.col("before").alias("content_before"), F.when(F.col("doc_id") % 3 == 0, other).otherwise(_broken(F.col("diff"))).alias("gen_patch"))
+    return R.repair_stats(R.repaired(rows)).select("model", "total", "success", "failure", "rate")
 
 
 @query()
@@ -580,38 +602,67 @@ def scattered_edits(read):
     return pairs.select("s_suppkey", U.edit_runs(F.col("s_name"), F.col("p_name")).alias("e"), U.good_edit(F.col("s_name"), F.col("p_name")).alias("good")).select("s_suppkey", "e.*", "good")
 
 
-@query()
+@query("SELECT s_suppkey, CAST(levenshtein(s_name, p_name) AS INTEGER) AS total FROM supplier JOIN part ON s_suppkey = p_partkey")
+def edit_totals(read):
+    """Length of the shortest edit script of each pair."""
+    pairs = read("supplier").join(read("part"), F.col("s_suppkey") == F.col("p_partkey"))
+    return pairs.select("s_suppkey", U.edit_runs(F.col("s_name"), F.col("p_name"))["total"].alias("total"))
+
+
+@query(f"""WITH {FILES}, {DEFINED}, c AS (SELECT doc_id, kind, name, name <> 'g' AND (i // 4 % 5 = 1 AND i + 2 < n OR i // 4 % 5 = 3 AND i + 1 < n) AS changed FROM defined JOIN files USING (doc_id))
+SELECT doc_id, CAST(count_if(kind = 'def') AS DOUBLE) AS original_total_def_count, CAST(count_if(kind = 'theorem') - 1 AS DOUBLE) AS original_total_theorem_count, CAST(count_if(kind = 'def') AS DOUBLE) AS new_total_def_count,
+CAST(count_if(kind = 'theorem') AS DOUBLE) AS new_total_theorem_count, CAST(0 AS DOUBLE) AS added_def_count, CAST(1 AS DOUBLE) AS added_theorem_count, CAST(count_if(kind = 'def' AND changed) AS DOUBLE) AS changed_def_count,
+CAST(count_if(kind = 'theorem' AND changed) AS DOUBLE) AS changed_theorem_count, CAST(count_if(kind = 'def' AND changed) AS DOUBLE) AS changed_def_line_count, CAST(count_if(kind = 'theorem' AND changed) AS DOUBLE) AS changed_theorem_line_count,
+CAST(count_if(kind = 'theorem' AND changed) > 0 AS DOUBLE) AS avg_changed_theorem_line_count, CAST(1 AS DOUBLE) AS avg_added_theorem_line_count FROM c GROUP BY doc_id""")
 def definition_stats(read):
-    return _lean(read).select("doc_id", U.pair_stats(F.col("before"), F.col("after")).alias("s")).select("doc_id", "s.*")
+    s = _lean(read).select("doc_id", U.pair_stats(F.col("before"), F.col("after")).alias("s"))
+    names = [f"{side}_total_{k}_count" for side in ("original", "new") for k in ("def", "theorem")] + [f"{c}_{k}_{n}" for c, n in (("added", "count"), ("changed", "count"), ("changed", "line_count")) for k in ("def", "theorem")]
+    return s.select("doc_id", *[F.col(f"s.{n}") for n in (*names, "avg_changed_theorem_line_count", "avg_added_theorem_line_count")])
 
 
-@query()
+@query(f"WITH {FILES}, {DEFINED} SELECT doc_id, kind, keyword, name FROM defined")
 def definition_list(read):
-    return _lean(read).select("doc_id", F.explode(U.definitions(F.col("after"))).alias("d")).select("doc_id", "d.*")
+    return _lean(read).select("doc_id", F.explode(U.definitions(F.col("after"))).alias("d")).select("doc_id", "d.kind", "d.keyword", "d.name")
 
 
-@query()
+@query(f"WITH {FILES} SELECT doc_id, {_DENSE} AS content FROM files")
 def patch_responses(read):
-    answer = F.concat(F.lit("Here:\n```diff\n@@ -9,9 +9,9 @@\n def f (x : Nat) := x\n+-- new\n```"))
-    return _lean(read).select("doc_id", U.patch_response(F.col("before"), answer).alias("r")).select("doc_id", "r.*")
+    """Model answers with a broken diff, parsed, repaired and applied."""
+    answer = F.concat(F.lit("Here:\n```diff\n"), _broken(F.col("diff")), F.lit("\n```\nThat is all."))
+    return _diffed(read).select("doc_id", _dense(U.patch_response(F.col("before"), answer)["best_gen_content"]).alias("content"))
 
 
-@query()
+_TOLD = "regexp_replace(regexp_replace(coalesce(text, ''), '[*#-]', '_'{g}), '(?i)exercise', '_'{g})"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOLD.format(g=", 'g'")} AS t FROM documents)
+SELECT doc_id, CAST(x AS INTEGER) AS num, 'Title ' || doc_id AS title, '-1 +' || x AS hunk_span, 'Feature' AS task_category, 'Adding' AS focus, CASE x WHEN 1 THEN 'Easy' ELSE 'Hard' END AS difficulty, 'Substantial' AS task_nature,
+regexp_replace('Do it. ' || t, {_STRIP}) AS instruction
+FROM t, (VALUES (1), (2)) AS v(x)""")
 def exercise_list(read):
-    answer = F.concat(
-        F.lit("Exercises in Lean\n\n### Exercise 1: Title "), F.col("doc_id"), F.lit("\n- **Diff Hunk Span:** @@ -1 +1 @@\n- **Task Category:** Feature\n- **Focus:** Adding\n- **Difficulty:** Easy\n- **Task Nature:** Substantial\n- **Problem Statement:** Do it.\n")
+    """Two exercises in an answer, each with a whole text as its statement."""
+    told = F.expr(_TOLD.format(g=""))
+    one = lambda n, level: F.concat(
+        F.lit(f"\n\n### Exercise {n}: Title "), F.col("doc_id"), F.lit(f"\n- **Diff Hunk Span:** @@ -1 +{n} @@\n- **Task Category:** Feature\n- **Focus:** Adding\n- **Difficulty:** {level}\n- **Task Nature:** Substantial\n- **Problem Statement:** Do it. "), told, F.lit("\n")
     )
+    answer = F.concat(F.lit("Thoughts first.\nExercises in Lean"), one(1, "Easy"), one(2, "Hard"))
     return read("documents").select("doc_id", F.explode(U.exercises(answer)).alias("x")).select("doc_id", "x.*")
 
 
-@query()
+@query(f"""WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replaced + 1 ELSE n - removed + 1 END AS added, CASE WHEN doc_id % 2 = 0 THEN 2 * replaced + removed + 1 ELSE n - removed + 1 END AS total,
+TRUE AS complete, CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'created' END AS change_type FROM edits""")
 def mined_changes(read):
-    """File changes with statistics, new files cut into chunks."""
-    rows = _lean(read).withColumn("diff", U.unified_diff(F.col("before"), F.col("after")))
+    """File changes split by hunks and new files cut into chunks: their statistics add up, and a part ends in the whole new file."""
+    rows = _diffed(read)
+    modified = F.col("doc_id") % 2 == 0
+    body = F.regexp_replace("after", "\n(?!$)", "\n+")
+    size = F.size(F.split("after", "\n")) - 1
     raw = rows.select(
         F.col("doc_id").cast("string").alias("commit_hash"), F.lit("A <a@b>").alias("author"), F.lit("feat(A/B): x").alias("message"), F.lit("2024-01-01T00:00:00+00:00").alias("date"),
-        F.array(F.lit("p")).alias("parent_commit_hash"), F.lit(None).cast("string").alias("toolchain_content"), F.when(F.col("doc_id") % 2 == 0, "A.lean").alias("file_path_before"), F.lit("A.lean").alias("file_path_after"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("before")).alias("content_before"), F.col("after").alias("content_after"),
-        F.when(F.col("doc_id") % 2 == 0, F.regexp_extract("diff", r"(?s)@@.*", 0)).otherwise(F.concat(F.lit("@@ -0,0 +1,9 @@\n+"), F.regexp_replace("after", "\n(?!$)", "\n+"))).alias("gold_diff"), F.lit(False).alias("copied"),
+        F.array(F.lit("p")).alias("parent_commit_hash"), F.lit(None).cast("string").alias("toolchain_content"), F.when(modified, "A.lean").alias("file_path_before"), F.lit("A.lean").alias("file_path_after"),
+        F.when(modified, F.col("before")).alias("content_before"), F.col("after").alias("content_after"),
+        F.when(modified, F.regexp_extract("diff", r"(?s)@@.*", 0)).otherwise(F.concat(F.lit("@@ -0,0 +1,"), size.cast("string"), F.lit(" @@\n+"), body)).alias("gold_diff"), F.lit(False).alias("copied"),
     )
-    return N.file_changes(N.classified(raw).drop("copied"), 5)
+    parts = N.file_changes(N.classified(raw).drop("copied"), 5).join(rows.select(F.col("doc_id").cast("string").alias("commit_hash"), F.col("after").alias("whole")), "commit_hash")
+    out = parts.groupBy(F.col("commit_hash").cast("long").alias("doc_id")).agg(F.sum("added_lines").alias("added"), F.sum("total_changes").alias("total"), F.bool_or(F.col("content_after") == F.col("whole")).alias("complete"), F.min("change_type").alias("change_type"))
+    return out

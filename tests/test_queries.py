@@ -66,8 +66,3 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and set(registry.ORACLES) <= set(__spark_entry__.oracle_sql())
-
-
-def test_round_trips_hold(spark):
-    assert registry.QUERIES["diff_round_trip"](spark, SF).where("not same").count() == 0
-    assert registry.QUERIES["diff_repair"](spark, SF).where("patch is null").count() == 0

@@ -189,3 +189,21 @@ def test_hunks_apply_however_far_lines_have_moved(moved):
     assert S.apply_diff("\n".join(before), diff) == "\n".join(after)
     assert S.apply_diff("\n".join(before), diff.replace("line 999", "no line")) is None
     assert S.apply_diff("a\nb\nc", "@@ -9000000,1 +9000000,1 @@\n-b\n+d") == "a\nd\nc"
+
+
+def test_apply_ignores_blanks_and_leaves_out_context_at_the_ends():
+    text = "one\ntwo  words\tapart\nthree\nfour\nfive"
+    diff = "@@ -1,5 +1,5 @@\n one\n two words apart  \n-three\n+3\n four\n five"
+    assert S.apply_diff(text, diff) == "one\ntwo  words\tapart\n3\nfour\nfive"
+    for first in ("ONE", "one"):
+        fuzzy = f"@@ -1,5 +1,5 @@\n {first}\n two words apart\n-three\n+3\n four\n FIVE"
+        assert S.apply_diff(text, fuzzy) == "one\ntwo  words\tapart\n3\nfour\nfive" and S.apply_diff(text, fuzzy, 0) is None
+    assert S.apply_diff(text, "@@ -1,5 +1,5 @@\n a\n b\n-three\n+3\n c\n d") == "one\ntwo  words\tapart\n3\nfour\nfive"
+    assert S.apply_diff(text, "@@ -1,7 +1,7 @@\n z\n a\n b\n-three\n+3\n c\n d\n e") is None
+
+
+def test_insertion_after_a_lost_blank_line_gets_one():
+    from tessella.functions import repair as R
+
+    hunk = R.Hunk([(" ", "alpha beta"), (" ", ""), ("+", "new"), (" ", "gamma")])
+    assert R.rebuild(hunk, ["alpha beta", "gamma"]) == [(" ", "alpha beta"), ("+", ""), ("+", "new"), (" ", "gamma")]
