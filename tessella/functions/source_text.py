@@ -6,9 +6,12 @@ Plain Python without Spark; ``udfs`` wraps them as Arrow functions.
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from itertools import pairwise
 
+import numpy as np
+
 _OUTSIDE, _INSIDE = re.compile("--|/-"), re.compile("/-|-/")
 _COMMANDS = re.compile(r"#align.*?(?:\n|$)|set_option.*?(?:\n|$)|import.*?(?:\n|$)|open.*?(?:\n|$)|\A\s*\Z", re.S)
 
@@ -295,13 +298,12 @@ def pair_stats(before: str | None, after: str | None) -> dict[str, float]:
     return out
 
 
-def edit_runs(a: str, b: str, scattered: int = 1, cells: int = 4_000_000) -> tuple[int, int, int]:
+def edit_runs(a: str, b: str, scattered: int = 1) -> tuple[int, int, int]:
     """(scattered, blocks, total) of a shortest character edit script.
 
     Runs of one operation at consecutive places of up to ``scattered`` characters add their length
     to the first figure, longer ones are blocks. Among shortest scripts the trace prefers match,
-    replace, delete, insert; only the total is the same for every choice. Middles of more than
-    ``cells`` table cells are split where the common text is longest.
+    replace, delete, insert; only the total is the same for every choice.
     """
     lo, top = 0, min(len(a), len(b))
     while lo < top and a[lo] == b[lo]:
@@ -309,8 +311,7 @@ def edit_runs(a: str, b: str, scattered: int = 1, cells: int = 4_000_000) -> tup
     hi = 0
     while hi < top - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    ops = _script(x, y, cells)
+    ops = _script(a[lo : len(a) - hi], b[lo : len(b) - hi])
     few = blocks = 0
     run, last = 0, None
     for op in [*ops, None]:
@@ -328,32 +329,43 @@ def edit_runs(a: str, b: str, scattered: int = 1, cells: int = 4_000_000) -> tup
     return few, blocks, len(ops)
 
 
-def _script(x: str, y: str, cells: int) -> list[tuple[str, int, int]]:
-    if len(x) * len(y) > cells:
-        out = []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag == "replace":
-                n = min(i2 - i1, j2 - j1)
-                out += [("r", i1 + k, j1 + k) for k in range(n)]
-                i1, j1 = i1 + n, j1 + n
-            if tag != "equal":
-                out += [("d", i, j1) for i in range(i1, i2)] + [("i", i2, j) for j in range(j1, j2)]
-        return out
+def _rows(above: np.ndarray, x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
+    """Rows of the edit table below ``above`` for the characters x, of which the first is number ``first``."""
+    ahead, out = np.arange(len(y) + 1, dtype=np.int32), np.empty((len(x) + 1, len(y) + 1), np.int32)
+    out[0] = above
+    for i, c in enumerate(x, 1):
+        row, prev = out[i], out[i - 1]
+        row[0] = first + i
+        np.minimum(prev[:-1] + (y != c), prev[1:] + 1, out=row[1:])
+        np.add(np.minimum.accumulate(row - ahead), ahead, out=row)
+    return out
+
+
+def _script(x: str, y: str) -> list[tuple[str, int, int]]:
+    """Operations of the traced script. Every k-th row of the table is kept, k its height's root; the rows between are made again."""
     n, m = len(x), len(y)
-    rows = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        above, row = rows[-1], [i]
-        for j in range(1, m + 1):
-            row.append(above[j - 1] if x[i - 1] == y[j - 1] else 1 + min(above[j - 1], above[j], row[-1]))
-        rows.append(row)
-    out, i, j = [], n, m
+    xs, ys = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+    step = max(1, math.isqrt(n))
+    kept = [np.arange(m + 1, dtype=np.int32)]
+    for lo in range(0, n, step):
+        kept.append(_rows(kept[-1], xs[lo : lo + step], ys, lo)[-1].copy())
+    out, i, j, lo = [], n, m, n + 1
+    rows = None
     while i or j:
-        if i and j and x[i - 1] == y[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
+        if i and i <= lo:
+            lo = (i - 1) // step * step
+            rows = _rows(kept[lo // step], xs[lo : lo + step], ys, lo)
+        if not i:
+            j -= 1
+            out.append(("i", i, j))
+            continue
+        here, above = rows[i - lo], rows[i - lo - 1]
+        if j and x[i - 1] == y[j - 1] and here[j] == above[j - 1]:
             i, j = i - 1, j - 1
-        elif i and j and rows[i][j] == rows[i - 1][j - 1] + 1:
+        elif j and here[j] == above[j - 1] + 1:
             i, j = i - 1, j - 1
             out.append(("r", i, j))
-        elif i and rows[i][j] == rows[i - 1][j] + 1:
+        elif here[j] == above[j] + 1:
             i -= 1
             out.append(("d", i, j))
         else:

@@ -183,3 +183,21 @@ def pass_at_k(n: Column, c: Column, k: Column) -> Column:
     """Unbiased estimate of the chance that one of k drawn from n samples, c of them right, is right."""
     miss = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (1.0 - k / i))
     return F.when((n == 0) | (c == 0), 0.0).when(n - c < k, 1.0).otherwise(1.0 - miss)
+
+
+def diff_lines(diff: Column) -> Column:
+    """Lines of a diff without the sign of added and removed ones."""
+    return F.transform(F.split(diff, "\n"), lambda l: F.when(l.startswith("+") | l.startswith("-"), F.substring(l, F.lit(2), F.length(l))).otherwise(l))
+
+
+def json_text(*values: Column) -> Column:
+    """Values as one JSON object: sets and arrays as lists, dates in ISO form, nulls kept."""
+    return F.to_json(F.struct(*values), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "dateFormat": "yyyy-MM-dd"})
+
+
+def greyed(colour: Column, share: float) -> Column:
+    """A colour #rrggbb mixed with its own grey level, by share."""
+    part = lambda k: F.conv(F.substring(colour, k, 2), 16, 10).cast("int")
+    grey = 0.299 * part(2) + 0.587 * part(4) + 0.114 * part(6)
+    mixed = [F.lpad(F.lower(F.hex(F.round(part(k) * (1 - share) + grey * share).cast("int"))), 2, "0") for k in (2, 4, 6)]
+    return F.concat(F.lit("#"), *mixed)

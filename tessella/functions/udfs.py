@@ -6,6 +6,7 @@ a projection both use its result.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -65,12 +66,42 @@ filtered_diff = once(
 )
 edit_runs = once(lambda a, b: dict(zip(("scattered", "blocks", "total"), S.edit_runs(a or "", b or ""), strict=True)), "struct<scattered:int,blocks:int,total:int>")
 pair_stats = once(lambda a, b: S.pair_stats(a, b), f"struct<{','.join(f'{n}:double' for n in S.PAIR_FIELDS)}>")
+
+
+def _safe_pair_stats(before: str | None, after: str | None) -> dict | None:
+    try:
+        return S.pair_stats(before, after)
+    except Exception:  # noqa: BLE001 - a file that cannot be read has no statistics
+        return None
+
+
+safe_pair_stats = once(lambda a, b: _safe_pair_stats(a, b), f"struct<{','.join(f'{n}:double' for n in S.PAIR_FIELDS)}>")
 added_deleted = once(lambda a, b: dict(zip(("added", "deleted"), S.added_deleted(a or "", b or ""), strict=True)), "struct<added:int,deleted:int>")
 definitions = once(lambda t: S.definitions(t or ""), "array<struct<kind:string,keyword:string,name:string,start:int,end:int,content:string>>")
 exercises = once(
     lambda t: S.exercises(t), "array<struct<num:int,title:string,hunk_span:string,task_category:string,focus:string,difficulty:string,task_nature:string,instruction:string>>"
 )
 repair_diff = once(lambda t, d: dict(zip(("patch", "content"), R.repair(t or "", d or ""), strict=True)), "struct<patch:string,content:string>")
+
+
+def _timed_repair(text: str | None, diff: str | None) -> dict:
+    """Repair with its seconds and, where it fails, why; a diff that is repaired but does not apply has failed."""
+    start, patch, content, error = time.perf_counter(), None, None, None
+    if diff is None:
+        error = "no diff"
+    else:
+        try:
+            patch, content = R.repair(text or "", diff)
+            if patch is not None:
+                content = S.apply_diff(text or "", patch)
+            if content is None:
+                patch, error = None, "no hunk finds its place" if patch is None else "the repaired diff does not apply"
+        except Exception as e:  # noqa: BLE001 - a failure is a result
+            patch, error = None, f"{type(e).__name__}: {e}"
+    return {"patch": None if content is None else S.unified_diff(text or "", content), "content": content, "error": error, "seconds": time.perf_counter() - start}
+
+
+timed_repair = once(lambda t, d: _timed_repair(t, d), "struct<patch:string,content:string,error:string,seconds:double>")
 _RESPONSE = (
     "gen_patch", "gen_content_from_scratch", "gen_patch_after_exact_repair", "gen_content_after_exact_repair", "gen_patch_after_robust_repair",
     "gen_content_after_robust_repair", "best_gen_content", "best_gen_patch", "best_gen_patch_comment_free",
@@ -90,6 +121,31 @@ def token_counter(encode: Callable[[str], list] | None = None):
     return once(lambda t: len(encode(t)) if t else 0, "int")
 
 
+#: Fixed value: how byte-level BPE of the public 50k vocabulary cuts a text before merging.
+BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class RankEncoder:
+    """Byte-pair encoder from a file of ranks (base64 token and rank a line), built once in each worker."""
+
+    def __init__(self, path: str, pattern: str = BPE_PATTERN):
+        self.path, self.pattern, self.made = path, pattern, None
+
+    def __call__(self, text: str) -> list[int]:
+        if self.made is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.made = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return self.made.encode_ordinary(text)
+
+    def __getstate__(self):
+        return {"path": self.path, "pattern": self.pattern, "made": None}
+
+
 REGISTRY: dict[str, Once] = {
     "strip_comments": strip_comments, "code_only": code_only, "unified_diff": unified_diff, "apply_diff": apply_diff, "good_edit": good_edit, "filtered_diff": filtered_diff,
     "edit_runs": edit_runs, "pair_stats": pair_stats, "definitions": definitions, "exercises": exercises, "repair_diff": repair_diff, "patch_response": patch_response,

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import source_text as S
 from ..functions import text as T
-from ..schemas import FILE_CHANGES
+from ..functions import udfs as U
+from ..schemas import EXPANSION, FILE_CHANGES
+from .curation import with_tokens
 
 MAX_LINES = 100
 
@@ -57,6 +59,29 @@ def expansion_stats(commits: DataFrame, raw: DataFrame, final: DataFrame) -> Dat
     return a.withColumn("__j", one).join(b.withColumn("__j", one), "__j").join(c.withColumn("__j", one), "__j").drop("__j")
 
 
+def expansion_totals(batches: DataFrame) -> DataFrame:
+    """Statistics of several batches (one row each) as one row."""
+    names = [f.strip().split(" ")[0] for f in EXPANSION.split(",")]
+    return batches.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+
+
+def with_statistics(rows: DataFrame, key: str, count=T.token_count, made: DataFrame | None = None) -> DataFrame:
+    """rows with module, input_tokens, instruction_tokens and the statistics of their definitions, joined by key.
+
+    Columns of these names are replaced; rows whose files cannot be read keep nulls. made gives statistics that a
+    cache holds already (key and the fields of pair_stats).
+    """
+    names = [*S.PAIR_FIELDS, "module", "input_tokens", "instruction_tokens"]
+    given = rows.drop(*names)
+    if made is None:
+        pair = given.select(key, "content_before", "content_after").dropDuplicates([key])
+        made = pair.select(key, U.safe_pair_stats(F.col("content_before"), F.col("content_after")).alias("s")).where("s is not null").select(key, "s.*")
+    out = given.join(made, key, "left")
+    out = with_tokens(out, "content_before", count) if "content_before" in given.columns else out.withColumn("input_tokens", F.lit(0))
+    out = with_tokens(out, "full_instruction", count, "instruction_tokens") if "full_instruction" in given.columns else out.withColumn("instruction_tokens", F.lit(0))
+    return out.withColumn("module", T.module_of(F.col("file_path_after")) if "file_path_after" in given.columns else F.lit("other"))
+
+
 def hunk_rows(diffs: DataFrame, column: str) -> DataFrame:
     """diffs and one row per hunk header of a diff column: start, count, new_start, new_count, by original start."""
     pattern = r"(?m)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"

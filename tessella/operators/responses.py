@@ -147,17 +147,25 @@ def output_file(outputs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repaired(rows: DataFrame, original: str = "content_before", patch: str = "gen_patch") -> DataFrame:
-    """rows with ``repair`` (patch or whole content) and ``repaired``, whether a hunk of the patch found its place."""
-    out = rows.withColumn("repair", U.repair_diff(F.col(original), F.col(patch)))
-    return out.withColumn("repaired", F.col("repair.patch").isNotNull() | F.col("repair.content").isNotNull())
+    """rows with ``repair`` (actual patch, content, error, seconds) and ``repaired``, whether the patch could be repaired and applied."""
+    out = rows.withColumn("repair", U.timed_repair(F.col(original), F.col(patch)))
+    return out.withColumn("repaired", F.col("repair.content").isNotNull())
 
 
 def repair_stats(rows: DataFrame, key: str = "model") -> DataFrame:
-    """Repaired rows -> per model: total, success, failure, rate."""
-    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if("repaired").alias("success"))
+    """Repaired rows -> per model: total, success, time_taken (seconds), failure, rate."""
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if("repaired").alias("success"), F.sum("repair.seconds").alias("time_taken"))
     return out.withColumn("failure", F.col("total") - F.col("success")).withColumn("rate", F.try_divide(F.col("success").cast("double"), F.col("total")))
 
 
+def split_repaired(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Repaired rows as the successful ones (repaired_diff, content_after_gen_diff) and the failed ones (error); write rows out first if the repair must run once."""
+    fields = rows.drop("repair", "repaired")
+    kept = [c for c in fields.columns if c not in ("repaired_diff", "content_after_gen_diff", "error")]
+    good = rows.where("repaired").select(*kept, F.col("repair.patch").alias("repaired_diff"), F.col("repair.content").alias("content_after_gen_diff"))
+    return good, rows.where("not repaired").select(*kept, F.col("repair.error").alias("error"))
+
+
 def judged_and_verified(verified_rows: DataFrame, judged_rows: DataFrame, keys: tuple[str, ...] = ("commit_hash", "gold_diff", "content_before")) -> DataFrame:
     """Verified candidates of the tasks that were judged, nulls in keys being equal; judged columns win."""
     left, right = verified_rows.alias("v"), judged_rows.alias("j")

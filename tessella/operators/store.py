@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,41 @@ def absent(files: DataFrame, store: DataFrame) -> DataFrame:
     return fresh.select("hash", T.storage_path(F.col("hash")).alias("path"), "content")
 
 
+def put(files: DataFrame, folder: str) -> None:
+    """Append the contents that the store folder lacks, as a table partitioned by the first two digits of the hash."""
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    old = spark.read.schema("hash string, content binary, fan string").parquet(folder) if there else spark.createDataFrame([], "hash string")
+    fresh = absent(files, old.select("hash")).select("hash", "content", F.substring("hash", 1, 2).alias("fan"))
+    fresh.repartition("fan").write.mode("append").partitionBy("fan").parquet(folder)
+
+
+def put_files(contents: DataFrame, uri: str) -> DataFrame:
+    """(hash, content) -> hash, written: each content as a file ab/cd/hash below a folder that the executors share, if it is not there yet."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            written = []
+            for digest, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder = f"{base}/{digest[:2]}/{digest[2:4]}"
+                fresh = system.get_file_info(f"{folder}/{digest}").type == fs.FileType.NotFound
+                if fresh:
+                    system.create_dir(folder)
+                    # Renamed when complete, so that a lost task leaves no torn file under the name.
+                    part = f"{folder}/.{digest}.{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as out:
+                        out.write(content)
+                    system.move(part, f"{folder}/{digest}")
+                written.append(fresh)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(written, pa.bool_())], names=["hash", "written"])
+
+    return contents.select("hash", "content").mapInArrow(run, "hash string, written boolean")
+
+
 def present(files: DataFrame, store: DataFrame) -> DataFrame:
     return files.join(store.select("hash"), "hash", "left_semi")
 

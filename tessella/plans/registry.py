@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators import mining as N
 from ..operators import responses as R
 from ..operators import runner as X
 from ..operators import store as S
+from ..operators import verification as V
 from .lean_files import DEFINED, FILES, files
 
 QUERIES: dict = {}
@@ -531,6 +534,68 @@ def normal_lines(read):
     return read("supplier").select("s_suppkey", T.normal_line(F.concat(F.lit(" ·\t"), F.col("s_name"), F.lit("· \n"))).alias("line"))
 
 
+# ---- progress, verification and smaller functions ----------------------------------------------
+
+
+@query("SELECT user_id % 40 AS key, arg_max(event_type, event_id) FILTER (event_id % 3 = 0 OR user_id % 40 < 20) AS value FROM events WHERE event_id % 3 = 0 OR event_id % 3 = 1 AND user_id % 40 < 20 GROUP BY 1")
+def progress_upsert(read):
+    """Progress keys replaced by newer values, of some of the keys only."""
+    e = read("events").select((F.col("user_id") % 40).alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("updated_at"))
+    newest = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct("value", "updated_at"), "updated_at").alias("x")).select(F.col("key").cast("string").alias("key"), "x.*")
+    old, new = newest(e.where("updated_at % 3 = 0")), newest(e.where("updated_at % 3 = 1 and key < 20"))
+    # The newer of both by time, as the ledger's writers would have it.
+    late = new.join(old.select("key", F.col("updated_at").alias("was")), "key", "left").where("was is null or updated_at > was").drop("was")
+    return X.upsert_progress(old, late, only=[str(k) for k in range(20)]).select(F.col("key").cast("long").alias("key"), "value")
+
+
+_SIDES = "list_filter(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l, i: i % 2 = {k} AND NOT starts_with(l, '{sign}{sign}')), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> '')"
+_SHARE = "CASE WHEN len({x}) = 0 THEN 1.0 ELSE len(list_distinct({x})) / len({x})::DOUBLE END"
+
+
+@query(f"SELECT doc_id, {_SHARE.format(x=_SIDES.format(k=1, sign='+'))} AS added, {_SHARE.format(x=_SIDES.format(k=0, sign='-'))} AS removed FROM documents")
+def diff_sides(read):
+    """Share of distinct lines among the added and among the removed lines of a diff made of each text."""
+    diff = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l, i: F.concat(F.when(i % 2 == 0, "+").otherwise("-"), l)), "\n")
+    return read("documents").select("doc_id", T.repeat_ratios(diff).alias("r")).select("doc_id", "r.added", "r.removed")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS text FROM documents")
+def diff_unsigned(read):
+    """Lines of a diff without their signs give the text again."""
+    signed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l, i: F.concat(F.when(i % 2 == 0, "+").otherwise("-"), l))
+    return read("documents").select("doc_id", T.content_hash(F.array_join(T.diff_lines(F.array_join(signed, "\n")), "\n")).alias("text"))
+
+
+def _stub(code: str, folder: str) -> dict:
+    """A checker that needs no toolchain: a text with "qu" is an error, one with a line break a warning."""
+    said = [{"type": "error", "message": "qu"}] * ("qu" in code) + [{"type": "warning", "message": "break"}] * ("\n" in code)
+    ok = "qu" not in code
+    return {"parsed_output": said, "raw_output": "", "raw_stderr": "", "returncode": 0, "pass": ok, "complete": ok and "\n" not in code, "lean_output": None, "system_error": None}
+
+
+def _blob(digest: str) -> bytes:
+    if digest.startswith("miss"):
+        raise KeyError(digest)
+    return digest.encode()
+
+
+@query("""WITH r AS (SELECT conv_id % 9 AS c, text FROM conversations WHERE text <> '')
+SELECT 'c' || c AS commit_hash, CASE WHEN c % 3 = 1 THEN 'restore_failed' WHEN c % 3 = 2 THEN 'failed_verify' ELSE 'ready' END AS status, count(*) AS n,
+count_if(c % 3 = 0 AND NOT contains(text, 'qu')) AS passed, count_if(c % 3 = 0 AND NOT contains(text, 'qu') AND NOT contains(text, chr(10))) AS completed FROM r GROUP BY c""")
+def commit_checks(read):
+    """Records checked in restored worktrees: one third cannot be restored, one third does not build."""
+    records = read("conversations").select(F.concat(F.lit("c"), (F.col("conv_id") % 9).cast("string")).alias("commit_hash"), F.col("text").alias("code"))
+    commits = records.select(F.col("commit_hash").alias("commit_id")).distinct()
+    kind = F.substring("commit_id", 2, 9).cast("int") % 3
+    snapshots = commits.select("commit_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("i")).select(
+        "commit_id", F.concat(F.when((kind == 2) & (F.col("i") == 1), "broken/f").otherwise("src/f"), F.col("i")).alias("rel_path"),
+        F.concat(F.when(kind == 1, "miss").otherwise("h"), F.col("i")).alias("hash"), F.lit("regular").alias("type"),
+    )
+    done = V.verify(records, snapshots, V.Hooks(_blob, lambda folder: "it is broken" if os.path.exists(f"{folder}/broken") else None, _stub), 50)
+    ok = lambda f: F.count_if(F.coalesce(F.col(f"verification_result.{f}"), F.lit(False)))
+    return done.groupBy("commit_hash", "status").agg(F.count(F.lit(1)).alias("n"), ok("pass").alias("passed"), ok("complete").alias("completed"))
+
+
 # ---- sequential algorithms, over source files made of whole texts, against what their lines must give ---------------
 
 
@@ -620,6 +685,15 @@ def definition_stats(read):
     return s.select("doc_id", *[F.col(f"s.{n}") for n in (*names, "avg_changed_theorem_line_count", "avg_added_theorem_line_count")])
 
 
+@query(f"""WITH {FILES}, {DEFINED}, k AS (SELECT doc_id, count_if(kind = 'theorem') AS t FROM defined GROUP BY doc_id)
+SELECT f.doc_id, CASE WHEN f.doc_id % 3 = 0 THEN 'A' || f.doc_id % 4 ELSE 'other' END AS module, CAST(len(regexp_extract_all(before, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS INTEGER) AS input_tokens, 0 AS instruction_tokens, CAST(t AS DOUBLE) AS new_total_theorem_count FROM files f JOIN k ON k.doc_id = f.doc_id""")
+def joined_statistics(read):
+    """Module, tokens and statistics of definitions joined to rows that had some of these columns already."""
+    rows = _lean(read).select("doc_id", F.col("before").alias("content_before"), F.col("after").alias("content_after"), F.lit(-1.0).alias("new_total_theorem_count"),
+                              F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Root/A"), (F.col("doc_id") % 4).cast("string"), F.lit("/x.lean"))).otherwise("x.lean").alias("file_path_after"))
+    return N.with_statistics(rows, "doc_id").select("doc_id", "module", "input_tokens", "instruction_tokens", "new_total_theorem_count")
+
+
 @query(f"WITH {FILES}, {DEFINED} SELECT doc_id, kind, keyword, name FROM defined")
 def definition_list(read):
     return _lean(read).select("doc_id", F.explode(U.definitions(F.col("after"))).alias("d")).select("doc_id", "d.kind", "d.keyword", "d.name")

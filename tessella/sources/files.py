@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,27 @@ def _matches(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in (found or []))
 
 
+def _torn(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the JSON files that hold a line that is no JSON."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+    return [r.path for r in lines.where(F.try_parse_json("value").isNull()).select("path").distinct().collect()]
+
+
 def load_results(spark: SparkSession, patterns: str | list[str], schema: str | None = None) -> DataFrame:
     """All files of the globs as one table, columns by name, missing ones null; other kinds of files are skipped.
 
-    Corrupt files are skipped too. Without a schema JSON is inferred, which reads it twice.
+    Corrupt files and JSON files with a bad line are skipped whole; each skipped file is warned of, but for corrupt
+    Parquet files, which only their reader meets. Without a schema JSON is inferred, which reads it once more.
     """
     paths = [p for g in ([patterns] if isinstance(patterns, str) else patterns) for p in _matches(spark, g)]
-    groups = {k: [p for p in paths if _kind(p) == k] for k in ("parquet", "json")}
+    groups = {k: [p for p in paths if _kind(p) == k] for k in ("parquet", "json", None)}
+    torn = _torn(spark, groups["json"]) if groups["json"] else []
+    name = lambda p: "/" + p.split(":", 1)[-1].lstrip("/")
+    groups["json"] = [p for p in groups["json"] if name(p) not in {name(t) for t in torn}]
+    for p in groups[None]:
+        warnings.warn(f"{p} is skipped: its format is not supported", stacklevel=2)
+    for p in torn:
+        warnings.warn(f"{p} is skipped: it has a line that is no JSON", stacklevel=2)
     parts = []
     if groups["parquet"]:
         parts.append(spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(*groups["parquet"]))
@@ -68,8 +83,33 @@ def save_with_stats(df: DataFrame, stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.json(path.removesuffix(".parquet") + "_stats.json")
 
 
-def expansion_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The statistics beside a table, 1 for each where there are none."""
+def save_by_commit(rows: DataFrame, path: str, key: str = "commit_hash") -> None:
+    """JSON lines in one folder for each commit, each written by one task."""
+    rows.repartition(key).write.mode("append").partitionBy(key).option("ignoreNullFields", "false").json(path)
+
+
+def _footer(spark: SparkSession, path: str, key: str) -> str | None:
+    """A value of the key-value metadata in a Parquet file's footer; of a folder in that of its first file."""
+    file = next(iter(_matches(spark, f"{path}/*.parquet") or _matches(spark, path)), None)
+    if file is None:
+        return None
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    try:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+    except Exception:  # noqa: BLE001 - no Parquet file, so no footer
+        return None
+    try:
+        return reader.getFooter().getFileMetaData().getKeyValueMetaData().get(key)
+    finally:
+        reader.close()
+
+
+def expansion_stats(spark: SparkSession, path: str, key: str = "expansion_stats") -> DataFrame:
+    """The statistics in a table's footer, else those beside it, else 1 for each."""
+    if found := _footer(spark, path, key):
+        values = json.loads(found)
+        names = [f.strip().split(" ")[0] for f in schemas.EXPANSION.split(",")]
+        return spark.createDataFrame([tuple(int(values.get(n, 1)) for n in names)], schemas.EXPANSION)
     sidecar = path.removesuffix(".parquet") + "_stats.json"
     if not _matches(spark, sidecar):
         return spark.createDataFrame([(1, 1, 1, 1)], schemas.EXPANSION)
@@ -96,10 +136,11 @@ def append_chat(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").partitionBy("day").json(folder)
 
 
-def verify_groups(rows: DataFrame) -> DataFrame:
-    """Checked input of verification: every row has code; null code raises."""
+def verify_groups(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Checked input of verification: every row has code; null code raises. The rows of a commit come to one task, commits to tasks by hash."""
     code = F.when(F.col("code").isNull(), F.raise_error(F.lit("a record has no code")).cast("string")).otherwise(F.col("code"))
-    return rows.withColumn("code", code)
+    checked = rows.withColumn("code", code)
+    return checked.repartition("commit_hash") if tasks is None else checked.repartition(tasks, "commit_hash")
 
 
 def toolchains(rows: DataFrame) -> DataFrame:
@@ -107,7 +148,7 @@ def toolchains(rows: DataFrame) -> DataFrame:
 
 
 def latest_folder(spark: SparkSession, pattern: str) -> str | None:
-    """The newest path of a glob."""
+    """The path of a glob that changed last; file systems of a cluster keep no time of creation."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     return max(((s.getModificationTime(), s.getPath().toString()) for s in found), default=(0, None))[1]
@@ -122,11 +163,109 @@ def merge_config(base: dict, over: dict) -> dict:
 
 
 def load_config(text: str, kind: str = "json") -> dict:
-    """Configuration from JSON, or from YAML where a YAML reader is installed."""
+    """Configuration from JSON or YAML; without a YAML reader, from the YAML that read_yaml knows."""
     if kind == "json":
         return json.loads(text)
     try:
         import yaml
-    except ImportError as e:
-        raise ValueError("YAML needs a YAML reader") from e
+    except ImportError:
+        return read_yaml(text)
     return yaml.safe_load(text)
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in ("'", '"') and text[-1:] == text[:1] and len(text) > 1:
+        return text[1:-1].replace("''", "'") if text[0] == "'" else json.loads(text)
+    if text[:1] in ("[", "{"):
+        inner = text[1:-1].strip()
+        items = _flow(inner) if inner else []
+        return [_scalar(i) for i in items] if text[0] == "[" else {str(_scalar(i.split(":", 1)[0])): _scalar(i.split(":", 1)[1]) for i in items}
+    plain = {"true": True, "false": False, "null": None, "~": None, "": None}
+    if text.lower() in plain:
+        return plain[text.lower()]
+    for number in (int, float):
+        try:
+            return number(text.replace("_", ""))
+        except ValueError:
+            continue
+    return text
+
+
+def _flow(text: str) -> list[str]:
+    """Items of a list in brackets, cut at commas outside quotes and brackets."""
+    out, depth, quote, at = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(text[at:i])
+            at = i + 1
+    return [*out, text[at:]]
+
+
+def read_yaml(text: str):
+    """Nested maps, lists, flow lists and scalars of YAML; anchors, tags, several documents and multi-line scalars raise."""
+    rows = []
+    for line in text.split("\n"):
+        quote, end = "", len(line)
+        for i, c in enumerate(line):
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "'\"" and line[:i].rstrip()[-1:] in (":", "-", ",", "[", "{", ""):
+                quote = c
+            elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+                end = i
+                break
+        line = line[:end].rstrip()
+        if line.strip():
+            body = line.strip()
+            if body[:1] in "&*!%" or body in ("---", "...") and rows or body.endswith((": |", ": >", "- |", "- >")):
+                raise ValueError(f"YAML beyond nested maps, lists and scalars: {body}")
+            if body not in ("---", "..."):
+                rows.append((len(line) - len(line.lstrip()), body))
+    value, at = _yaml_block(rows, 0, rows[0][0]) if rows else (None, 0)
+    if at < len(rows):
+        raise ValueError(f"bad indentation: {rows[at][1]}")
+    return value
+
+
+def _yaml_block(rows: list[tuple[int, str]], at: int, indent: int):
+    listed = rows[at][1].startswith("- ") or rows[at][1] == "-"
+    out = [] if listed else {}
+    while at < len(rows) and rows[at][0] == indent and (rows[at][1].startswith("- ") or rows[at][1] == "-") == listed:
+        body = rows[at][1]
+        if listed:
+            rest = body[1:].strip()
+            head = rest.split(":", 1)
+            if rest and rest[0] not in "'\"[{" and (rest.endswith(":") or ": " in rest) and len(head) == 2:
+                # A map that begins on the item's own line: its keys stand where the first one does.
+                inner = indent + len(body) - len(rest)
+                rows[at] = (inner, rest)
+                value, at = _yaml_block(rows, at, inner)
+                out.append(value)
+                continue
+            key = None
+        else:
+            key, sep, rest = body.partition(":")
+            if not sep or rest and not rest.startswith(" "):
+                raise ValueError(f"no key: {body}")
+            rest = rest.strip()
+        at += 1
+        if rest:
+            value = _scalar(rest)
+        elif at < len(rows) and (rows[at][0] > indent or not listed and rows[at][0] == indent and rows[at][1].startswith("-")):
+            value, at = _yaml_block(rows, at, rows[at][0])
+        else:
+            value = None
+        if listed:
+            out.append(value)
+        else:
+            out[str(_scalar(key))] = value
+    return out, at
