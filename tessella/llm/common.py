@@ -1,19 +1,18 @@
 """Helpers shared by the training-data operators.
 
-Nothing here touches a machine-local folder on a cluster: intermediate tables
-go to the folder named by ``spark.checkpoint.dir``.
+Intermediate tables go to the folder named by ``spark.checkpoint.dir``, by
+``materialise``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import materialise, shared_dir  # noqa: F401 - the operators take them from here
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
@@ -23,32 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
-
-    The written table survives the loss of executors. It is deleted when the
-    driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns that tell rows apart by id and text; equal rows get equal keys and equal results."""
     return [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_lines, op10_decontam, op2_revisit, op3_repeats, op4_secrets, op5_html, op6_mixing, op7_mpeg, op8_quality, op9_minhash
+from . import op1_lines, op10_decontam, op2_revisit, op3_repeats, op4_secrets, op5_html, op6_mixing, op7_mpeg, op8_quality, op9_minhash, oracles
 
 QUERIES = {
     "op1_lines": op1_lines.op1_lines,
@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_revisit": op2_revisit.ORACLE,
+    "op3_repeats": oracles.OP3,
     "op6_mixing": op6_mixing.ORACLE,
+    "op9_minhash": oracles.OP9,
 }
