@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import warnings
 from functools import reduce
 
@@ -217,8 +218,9 @@ def read_yaml(text: str):
         quote, end = "", len(line)
         for i, c in enumerate(line):
             if quote:
+                # A doubled quote inside quotes opens them again at once.
                 quote = "" if c == quote else quote
-            elif c in "'\"" and line[:i].rstrip()[-1:] in (":", "-", ",", "[", "{", ""):
+            elif c in "'\"" and (line[:i].rstrip()[-1:] in (":", "-", ",", "[", "{", "") or line[i - 1] == c):
                 quote = c
             elif c == "#" and (i == 0 or line[i - 1] in " \t"):
                 end = i
@@ -253,7 +255,8 @@ def _yaml_block(rows: list[tuple[int, str]], at: int, indent: int):
                 continue
             key = None
         else:
-            key, sep, rest = body.partition(":")
+            quoted = re.match(r"""('(?:[^']|'')*'|"(?:[^"\\]|\\.)*")(:)""", body)
+            key, sep, rest = (quoted[1], ":", body[quoted.end() :]) if quoted else body.partition(":")
             if not sep or rest and not rest.startswith(" "):
                 raise ValueError(f"no key: {body}")
             rest = rest.strip()

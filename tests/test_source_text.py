@@ -207,3 +207,45 @@ def test_insertion_after_a_lost_blank_line_gets_one():
 
     hunk = R.Hunk([(" ", "alpha beta"), (" ", ""), ("+", "new"), (" ", "gamma")])
     assert R.rebuild(hunk, ["alpha beta", "gamma"]) == [(" ", "alpha beta"), ("+", ""), ("+", "new"), (" ", "gamma")]
+
+
+def whole_table(x, y):
+    """The traced script from a table that is kept whole."""
+    rows = [list(range(len(y) + 1))]
+    for i, c in enumerate(x, 1):
+        row = [i]
+        for j, d in enumerate(y, 1):
+            row.append(min(rows[-1][j - 1] + (c != d), rows[-1][j] + 1, row[-1] + 1))
+        rows.append(row)
+    out, i, j = [], len(x), len(y)
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and rows[i][j] == rows[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
+            out.append(("r", i, j))
+        elif i and rows[i][j] == rows[i - 1][j] + 1:
+            i -= 1
+            out.append(("d", i, j))
+        else:
+            j -= 1
+            out.append(("i", i, j))
+    return out[::-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé😀", max_size=40), st.text("abé😀", max_size=40))
+def test_scripts_are_those_of_the_whole_table(x, y):
+    assert S._script(x, y) == whole_table(x, y)
+
+
+def test_long_texts_have_shortest_scripts():
+    import random
+
+    rng = random.Random(1)
+    a = "".join(rng.choice("abcdef") for _ in range(5000))
+    b = "".join(c if rng.random() > 0.01 else rng.choice(["", "x", c + "y"]) for c in a)
+    few, blocks, total = S.edit_runs(a, b)
+    assert 0 < total < 100 and few + blocks <= total
+    c = "z" + b[1:2500] + b[2510:] + "q"
+    assert S.edit_runs(b, c)[2] <= 12 + 2

@@ -100,3 +100,58 @@ def test_stream_appends_each_row_once(spark, tmp_path):
     go()
     out = spark.read.schema("id long, x string").json(f"{tmp_path}/out").collect()
     assert sorted((r.id, r.x) for r in out) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_torn_files_are_skipped_with_a_warning(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    (tmp_path / "torn.jsonl").write_text('{"a": 3}\n{"a": \n')
+    (tmp_path / "note.txt").write_text("x")
+    with pytest.warns(UserWarning) as seen:
+        assert sorted(r.a for r in files.load_results(spark, f"{tmp_path}/*", "a int").collect()) == [1, 2]
+    assert {str(w.message).split(": ")[-1] for w in seen if "is skipped" in str(w.message)} == {"it has a line that is no JSON", "its format is not supported"}
+
+
+def test_statistics_in_a_footer(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"a": [1]})
+    pq.write_table(table.replace_schema_metadata({"expansion_stats": '{"initial_commits": 5, "file_changes": 7}'}), tmp_path / "t.parquet")
+    pq.write_table(table, tmp_path / "u.parquet")
+    assert files.expansion_stats(spark, f"{tmp_path}/t.parquet").first() == (5, 1, 7, 1)
+    assert files.expansion_stats(spark, f"{tmp_path}/u.parquet").first() == (1, 1, 1, 1) == files.expansion_stats(spark, f"{tmp_path}/none.parquet").first()
+
+
+def test_records_by_commit(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", "x"), ("c2", "y"), ("c1", None)], "commit_hash string, code string")
+    files.save_by_commit(rows, f"{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").glob("commit_hash=*")) == ["commit_hash=c1", "commit_hash=c2"]
+    assert spark.read.json(f"{tmp_path}/out/commit_hash=c1").count() == 2
+    kept = files.verify_groups(rows.where("code is not null"), 5)
+    assert kept.rdd.getNumPartitions() == 5 and kept.count() == 2
+
+
+def test_yaml():
+    text = """
+# settings
+model: gpt  # the default
+ratio: 0.8
+"quoted: key": 'it''s # no comment'
+steps:
+  - name: one
+    on: true
+    list: [1, "two, three", {a: b}]
+  - plain
+  -
+    - nested
+empty:
+same:
+- a
+- b: 1
+path: http://x.example/#y
+"""
+    want = {"model": "gpt", "ratio": 0.8, "quoted: key": "it's # no comment", "steps": [{"name": "one", "on": True, "list": [1, "two, three", {"a": "b"}]}, "plain", ["nested"]], "empty": None, "same": ["a", {"b": 1}], "path": "http://x.example/#y"}
+    assert files.read_yaml(text) == want and files.read_yaml("") is None
+    for bad in ("a: |\n  x", "a: b\n   c: d", "just text\nmore", "a: 1\n--- \nb: 2"):
+        with pytest.raises(ValueError):
+            files.read_yaml(bad)

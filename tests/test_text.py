@@ -79,3 +79,21 @@ def test_paths_and_names(spark):
     assert column(spark, [("m",), ("q",)], "m string", T.series_label(F.col("m"), F.lit(0.5), {"m": "Model M"}, ("q",))) == ["Model M (T=0.5)", "q"]
     rows = [(None, None), (None, "a"), ("a", None), ("a", "b"), ("a", "a")]
     assert column(spark, rows, "a string, b string", T.change_type(F.col("a"), F.col("b"))) == ["unknown", "created", "deleted", "renamed", "modified"]
+
+
+def test_tokens_of_a_public_vocabulary(spark):
+    import os
+
+    import pytest
+
+    from tessella.functions import udfs as U
+    from tessella.operators import curation as C
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+    encode = U.RankEncoder(path)
+    texts = ["hello world", "", None, "été 日本 x1y2", "a " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.n for r in C.with_tokens(rows, "t", U.token_counter(encode), "n").collect()}
+    assert got == {i: len(encode(t)) if t else 0 for i, t in enumerate(texts)} and got[0] == 2
