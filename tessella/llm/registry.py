@@ -19,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_revisit": op2_revisit.ORACLE,
     "op3_repeats": oracles.OP3,
+    "op4_secrets": oracles.OP4,
     "op6_mixing": op6_mixing.ORACLE,
     "op9_minhash": oracles.OP9,
 }
