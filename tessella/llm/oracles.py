@@ -15,7 +15,8 @@ b AS (SELECT r, i, i + 400 AS e, lag(i) OVER (PARTITION BY r ORDER BY i) AS befo
 island AS (SELECT r, min(i) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN before IS NULL OR before + 400 < i THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM b) GROUP BY r, g),
 gap AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS o FROM island),
 cut AS (SELECT r, count(*) AS n, sum(gap.e - gap.s) AS removed, string_agg(substr(h, 2 * o - 1, 2 * (gap.s - o)), '' ORDER BY gap.s) AS kept, max(gap.e) AS last FROM gap JOIN h USING (r) GROUP BY r),
-v AS (SELECT r, i, hash(list_slice(w, i, i + 50)) AS x FROM (SELECT r, w, unnest(range(1, len(w) - 49)) AS i FROM h WHERE len(w) >= 51)),
+n AS (SELECT r, list_transform(w, lambda x: hash(x)) AS w FROM h WHERE len(w) >= 51),
+v AS (SELECT r, i, hash(list_slice(w, i, i + 50)) AS x FROM (SELECT r, w, unnest(range(1, len(w) - 49)) AS i FROM n)),
 vagain AS (SELECT x FROM v GROUP BY x HAVING count(*) > 1),
 vb AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM v SEMI JOIN vagain USING (x)),
 passages AS (SELECT r, count(*) FILTER (before IS NULL OR before + 51 < i) AS n FROM vb GROUP BY r)
