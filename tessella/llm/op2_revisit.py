@@ -22,6 +22,11 @@ each give a row. No records give no rows; other columns pass by unread.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from datetime import datetime
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +99,104 @@ def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
     return resolved.join(payloads, "ref_id", "left")
 
 
+RECORDS = (
+    "record_id string, warc_type string, target_uri string, warc_date timestamp, http_status int, http_headers map<string,string>,"
+    " payload_digest string, n_bytes long, payload binary"
+)
+
+
+def _inflated(data: bytes) -> bytes:
+    """The content of a file of gzip members, one after another, or of a plain file; a torn member gives what it has."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+def _fields(lines: bytes) -> dict[str, str]:
+    """Header fields with names in lower case; folded lines belong to the field before them, of a repeated one the last counts."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def warc_records(data: bytes):
+    """(headers, block) of each record of a WARC file; after a damaged record the next version line is looked for."""
+    data, at = _inflated(data), 0
+    while (at := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        head = _fields(data[data.find(b"\r\n", at) + 2 : end])
+        size = head.get("content-length", "")
+        if not size.isdigit() or end + 4 + int(size) > len(data):
+            at += 5
+            continue
+        block = data[end + 4 : end + 4 + int(size)]
+        yield head, block
+        at = end + 4 + len(block)
+
+
+def _http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
+    """Status, headers and body of an HTTP message."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    first, _, rest = head.partition(b"\r\n")
+    parts = first.split()
+    return (int(parts[1]) if first.startswith(b"HTTP/") and len(parts) > 1 and parts[1].isdigit() else None), _fields(rest), body
+
+
+def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Response and revisit records of WARC files (plain or gzip), as resolve takes them, with the payload.
+
+    A file is read by one task, as a whole; Spark's binary reader takes files of up to 2 GB, twice what is usual.
+    A record without a date or target has null there; a payload without a digest gets one (SHA-256).
+    """
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                rows, size = [], 0
+                for head, block in warc_records(content.as_buffer().to_pybytes()):
+                    kind = head.get("warc-type")
+                    if kind not in ("response", "revisit"):
+                        continue
+                    status, headers, body = _http(block)
+                    date = head.get("warc-date")
+                    try:
+                        date = date and datetime.fromisoformat(date.replace("Z", "+00:00"))
+                    except ValueError:
+                        date = None
+                    digest = head.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
+                    rows.append((head.get("warc-record-id"), kind, head.get("warc-target-uri", "").strip("<>") or None, date, status, list(headers.items()), digest if kind == "response" else None, len(body), body if kind == "response" else None))
+                    size += len(body)
+                    if size > 8 << 20 or len(rows) >= 256:
+                        yield _record_batch(rows)
+                        rows, size = [], 0
+                yield _record_batch(rows)
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, RECORDS)
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[f.strip().split(" ")[0] for f in RECORDS.replace("map<string,string>", "map").split(",")])
+
+
 def crawl(pages: DataFrame) -> DataFrame:
     """pages as records of a crawl: each page one response and one later revisit, times set by page_id.
 

@@ -1,3 +1,4 @@
+import gzip
 import random
 from datetime import datetime, timedelta
 
@@ -68,3 +69,30 @@ def test_canonical_url(spark):
     cases = {"HTTP://www.X.org:80/a/?utm_source=f&ref=x#t": "x.org/a", "https://x.org": "x.org", "x.org/A?b=1&&a=2": "x.org/A?a=2&b=1", "": ""}
     got = spark.createDataFrame([(k,) for k in cases], "u string").select("u", m.canonical_url(F.col("u")).alias("c")).collect()
     assert {r.u: r.c for r in got} == cases
+
+
+def warc(kind, uri, date, block, extra=()):
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{kind}:{date}>"), ("WARC-Date", date), *([("WARC-Target-URI", uri)] if uri else []), *extra, ("Content-Length", len(block))]
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_files_of_records(spark, tmp_path):
+    """Revisits of gzip and plain files, with a damaged record and a torn end, resolved against the responses in them."""
+    page = b"HTTP/1.1 200 OK\r\nETag: \"a\"\r\nX-Long: one\r\n two\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0 in a page\r\n\r\n</p>"
+    same = b"HTTP/1.1 304 Not Modified\r\nETag: W/\"a\"\r\nCache-Control: no-store\r\n\r\n"
+    info = warc("warcinfo", None, "2024-01-01T00:00:00Z", b"software: x\r\n")
+    first = warc("response", "http://Site.example/p?utm_source=x", "2024-01-02T00:00:00Z", page, [("WARC-Payload-Digest", "sha1:AB")])
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nlost\r\n\r\n"
+    later = warc("revisit", "https://www.site.example/p", "2024-02-02T00:00:00Z", same)
+    none = warc("revisit", None, "2024-02-03T00:00:00Z", same)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, (info, first))) + gzip.compress(later)[:20])
+    (tmp_path / "b.warc").write_bytes(bad + later + none + first[: len(first) // 2])
+    (tmp_path / "c.warc").write_bytes(b"")
+    records = m.read_warc(spark, str(tmp_path))
+    rows = records.collect()
+    assert sorted(r.warc_type for r in rows) == ["response", "revisit", "revisit"]
+    got = next(r for r in rows if r.warc_type == "response")
+    assert bytes(got.payload) == page.split(b"\r\n\r\n", 1)[1] and got.http_headers["x-long"] == "one two" and got.payload_digest == "sha1:AB" and got.n_bytes == len(got.payload)
+    out = {r.status: r for r in m.with_payload(m.resolve(records), records).collect()}
+    assert set(out) == {"resolved", "no_url"} and out["resolved"].payload_digest == "sha1:AB" and bytes(out["resolved"].payload) == bytes(got.payload)
+    assert out["resolved"].http_headers == {"etag": 'W/"a"', "cache-control": "no-store", "x-long": "one two", "content-type": "text/html"}
