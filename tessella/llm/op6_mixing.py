@@ -123,6 +123,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: in
         budgets.join(cut1, F.col("source").eqNullSafe(F.col("s1")), "left").join(cut2, F.col("source").eqNullSafe(F.col("s2")), "left")
         .select(F.col("source").alias("s0"), "source_size", "target", "epochs", "budget", "cut1", "cut2", "before2")
     )
+    # Written out too: the joins above would be taken for large, and the rows with all that is kept be shuffled by source.
+    limits = materialise(limits, "mix-limits")
     full = marked.join(limits, F.col("source").eqNullSafe(F.col("s0")))
     # Without a cut the budget is never passed: every document is inside it.
     inside = F.col("cut1").isNull() | (F.col("b1") < F.col("cut1")) | ((F.col("b1") == F.col("cut1")) & (F.col("b2") < F.col("cut2")))
