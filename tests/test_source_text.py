@@ -249,3 +249,28 @@ def test_long_texts_have_shortest_scripts():
     assert 0 < total < 100 and few + blocks <= total
     c = "z" + b[1:2500] + b[2510:] + "q"
     assert S.edit_runs(b, c)[2] <= 12 + 2
+
+
+def filed(n, word="ab"):
+    """The file of lean_files of n lines, before and after its edit, and what the edit's figures are."""
+    import duckdb
+
+    from tessella.plans.lean_files import FILES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE documents AS SELECT 1 AS doc_id, array_to_string(list_transform(range({n}), lambda i: '{word}'), chr(10)) AS text")
+    before, after, replaced, removed, last = con.sql(f"WITH {FILES} SELECT before, after, replaced, removed, last::INT FROM files JOIN edits USING (doc_id)").fetchall()[0]
+    return before, after, (replaced + 1, 2 * replaced + removed + 1, replaced + removed + 1 - last, 1 - removed)
+
+
+@pytest.mark.parametrize("n", [199, 208, 228, 248])
+def test_filtered_diff_matches_frequent_lines(n):
+    """From 200 lines on, a blank line after the last replaced line is no change."""
+    before, after, counts = filed(n)
+    assert S.filtered_diff(before, after)[1:] == counts
+
+
+def test_diff_of_frequent_lines_only():
+    old, new = "a\n\n" * 300, "b\n\n" * 300
+    diff = S.unified_diff(old, new)
+    assert S.diff_counts(diff)[:2] == (300, 600) and S.apply_diff(old, diff) == new
