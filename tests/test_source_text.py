@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -274,3 +275,11 @@ def test_diff_of_frequent_lines_only():
     old, new = "a\n\n" * 300, "b\n\n" * 300
     diff = S.unified_diff(old, new)
     assert S.diff_counts(diff)[:2] == (300, 600) and S.apply_diff(old, diff) == new
+
+
+def test_repair_among_lines_that_are_alike():
+    """Long lines that differ by their numbers only: a hunk with altered context goes where its lines are the same."""
+    before, after, _ = filed(60, " ".join("abcdefghijklmnop"))
+    broken = re.sub(r"(?m)^ theorem", " THEOREM", re.sub(r"@@ -\d+,\d+ \+\d+,\d+ @@", "@@ -1,1 +1,1 @@", S.unified_diff(before, after)))
+    patch, _ = R.repair(before, broken)
+    assert re.sub("\n+", "\n", S.apply_diff(before, patch)) == re.sub("\n+", "\n", after)
