@@ -283,3 +283,11 @@ def test_repair_among_lines_that_are_alike():
     broken = re.sub(r"(?m)^ theorem", " THEOREM", re.sub(r"@@ -\d+,\d+ \+\d+,\d+ @@", "@@ -1,1 +1,1 @@", S.unified_diff(before, after)))
     patch, _ = R.repair(before, broken)
     assert re.sub("\n+", "\n", S.apply_diff(before, patch)) == re.sub("\n+", "\n", after)
+
+
+def test_patch_response_among_lines_that_are_alike():
+    before, after, _ = filed(60, " ".join("abcdefghijklmnop"))
+    broken = re.sub(r"(?m)^ theorem", " THEOREM", re.sub(r"@@ -\d+,\d+ \+\d+,\d+ @@", "@@ -1,1 +1,1 @@", S.unified_diff(before, after)))
+    done = R.response(before, f"Here:\n```diff\n{broken}\n```\nThat is all.")
+    for name in ("best_gen_content", "gen_content_after_exact_repair"):
+        assert re.sub("\n+", "\n", done[name]) == re.sub("\n+", "\n", after)
