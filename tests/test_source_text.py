@@ -291,3 +291,12 @@ def test_patch_response_among_lines_that_are_alike():
     done = R.response(before, f"Here:\n```diff\n{broken}\n```\nThat is all.")
     for name in ("best_gen_content", "gen_content_after_exact_repair"):
         assert re.sub("\n+", "\n", done[name]) == re.sub("\n+", "\n", after)
+
+
+def test_split_change_counts_frequent_lines():
+    """The parts of a change of 248 lines whose last one is blank add up to its edit."""
+    before, after, counts = filed(248)
+    diff = S.unified_diff(before, after, headers=False)
+    parts = S.split_change(before, after, diff, "modified", 5)
+    assert len(parts) > 5 and parts[-1][1] == after
+    assert tuple(map(sum, zip(*(S.diff_counts(d)[:2] for _, _, d, _ in parts), strict=True))) == counts[:2]
