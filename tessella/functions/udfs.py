@@ -9,10 +9,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 from . import repair as R
 from . import source_text as S
@@ -22,30 +23,31 @@ def _text(v):
     return v if isinstance(v, str) else None
 
 
+#: Rows of a batch that a worker holds as Python values at a time, beside the batch that Spark sent (at most 64 MB by its default).
+SLICE = 100
+
+
 class Once:
-    """A row function of one to three columns as an Arrow function that runs once a row; it is built at its first use."""
+    """A row function as an Arrow function that runs once a row, slice by slice of a batch; it is built at its first use."""
 
     def __init__(self, function: Callable, returns: str):
         self.function, self.returns, self.built = function, returns, None
 
     def build(self):
         if self.built is None:
-            function, fields = self.function, None
-            if self.returns.startswith("struct<"):
-                fields = StructType.fromDDL(self.returns[7:-1].replace(":", " ")).names
-
-            def rows(columns):
-                return [function(*map(_text, row)) for row in zip(*columns, strict=True)]
-
-            def series(columns):
-                if fields is None:
-                    return pd.Series(rows(columns), dtype=object)
-                return pd.DataFrame([[None] * len(fields) if r is None else [r[f] for f in fields] for r in rows(columns)], columns=fields, dtype=object)
-
-            # pandas_udf reads the annotations of one function for each number of columns.
-            wrap = [lambda a: series([a]), lambda a, b: series([a, b]), lambda a, b, c: series([a, b, c])][function.__code__.co_argcount - 1]
-            wrap.__annotations__ = {n: pd.Series for n in "abc"[: function.__code__.co_argcount]} | {"return": pd.Series if fields is None else pd.DataFrame}
-            self.built = pandas_udf(wrap, self.returns).asNondeterministic()
+            function, kind = self.function, DataType.fromDDL(self.returns)
+            # A row without a result is a struct of nulls.
+            empty, returned = dict.fromkeys(kind.names) if isinstance(kind, StructType) else None, to_arrow_type(kind)
+
+            def slices(batches):
+                for batch in batches:
+                    columns = batch if isinstance(batch, tuple) else (batch,)
+                    for at in range(0, len(columns[0]), SLICE):
+                        rows = zip(*(c.slice(at, SLICE).to_pylist() for c in columns), strict=True)
+                        done = (function(*map(_text, row)) for row in rows)
+                        yield pa.array([empty if r is None else r for r in done], returned)
+
+            self.built = arrow_udf(slices, self.returns, ArrowUDFType.SCALAR_ITER).asNondeterministic()
         return self.built
 
     def __call__(self, *columns) -> Column:

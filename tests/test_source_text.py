@@ -300,3 +300,18 @@ def test_split_change_counts_frequent_lines():
     parts = S.split_change(before, after, diff, "modified", 5)
     assert len(parts) > 5 and parts[-1][1] == after
     assert tuple(map(sum, zip(*(S.diff_counts(d)[:2] for _, _, d, _ in parts), strict=True))) == counts[:2]
+
+
+def test_arrow_functions_hold_slices_of_a_batch(spark):
+    """A worker turns rows into Python values slice by slice, and every row comes back once, in order."""
+    import pyarrow as pa
+
+    from tessella.functions import udfs as U
+
+    texts = [None if i % 7 == 0 else f"a{i} -- b" for i in range(2 * U.SLICE + 50)]
+    out = list(U.strip_comments.build().func(iter([pa.array(texts[:1]), pa.array(texts[1:])])))
+    assert max(map(len, out)) == U.SLICE
+    want = [t and t[:-4] for t in texts]
+    assert [v for a in out for v in a.to_pylist()] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    assert [r.v for r in rows.select("i", U.strip_comments(rows.t).alias("v")).orderBy("i").collect()] == want
