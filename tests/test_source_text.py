@@ -315,3 +315,12 @@ def test_arrow_functions_hold_slices_of_a_batch(spark):
     assert [v for a in out for v in a.to_pylist()] == want
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
     assert [r.v for r in rows.select("i", U.strip_comments(rows.t).alias("v")).orderBy("i").collect()] == want
+
+
+def test_patch_responses_of_every_length():
+    """Answers over lines that are alike, at every place that the last edit and the last kinds of line have to one another."""
+    for n in range(1, 121):
+        before, after, _ = filed(n, " ".join("abcdefghijklmnop"))
+        broken = re.sub(r"(?m)^ theorem", " THEOREM", re.sub(r"@@ -\d+,\d+ \+\d+,\d+ @@", "@@ -1,1 +1,1 @@", S.unified_diff(before, after)))
+        done = R.response(before, f"Here:\n```diff\n{broken}\n```\nThat is all.")
+        assert re.sub("\n+", "\n", done["best_gen_content"]) == re.sub("\n+", "\n", after), n
