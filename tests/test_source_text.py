@@ -324,3 +324,14 @@ def test_patch_responses_of_every_length():
         broken = re.sub(r"(?m)^ theorem", " THEOREM", re.sub(r"@@ -\d+,\d+ \+\d+,\d+ @@", "@@ -1,1 +1,1 @@", S.unified_diff(before, after)))
         done = R.response(before, f"Here:\n```diff\n{broken}\n```\nThat is all.")
         assert re.sub("\n+", "\n", done["best_gen_content"]) == re.sub("\n+", "\n", after), n
+
+
+def test_split_changes_of_every_length():
+    """From 200 lines on, where blank lines are frequent, the parts of changed and of new files add up to the edit and end in the whole file."""
+    for n in range(200, 320):
+        before, after, counts = filed(n)
+        size = len(after.splitlines())
+        for old, kind, want in ((before, "modified", counts[:2]), ("", "created", (size, size))):
+            parts = S.split_change(old, after, S.unified_diff(old, after, headers=False), kind, 5)
+            assert len(parts) > 5 and parts[-1][1] == after, (n, kind)
+            assert tuple(map(sum, zip(*(S.diff_counts(d)[:2] for _, _, d, _ in parts), strict=True))) == want, (n, kind)
